@@ -84,7 +84,7 @@ class Encoder:
         """Ids of pieces that the cache lacks. Closing marks after a letter are tokens of their own."""
         if self.kind == "whole":
             return dict(zip(missing, self.library_ids([*missing]), strict=True))
-        stems = {p: s for p in missing if len(s := p.rstrip(CLOSING)) < len(p) and s and s.decode("utf-8")[-1].isalpha()}
+        stems = {p: s for p in missing if len(s := p.rstrip(CLOSING)) < len(p) and s and s.decode("utf-8")[-1].lower().isalpha()}
         wanted = [p for p in {stems.get(p, p) for p in missing}.union(p[len(s) :] for p, s in stems.items()) if p not in self.cache]
         got = dict(zip(wanted, self.library_ids(wanted), strict=True))
         find = ChainMap(got, self.cache)
