@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from proofmill.llm.binary import op6_binary_output
+from proofmill.llm.mixing import op4_mixing
 from proofmill.llm.packing import op3_packing
+from proofmill.llm.quality_rules import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
     "op6_binary_output": op6_binary_output,
 }
 SQL: dict[str, str] = {}
