@@ -6,8 +6,10 @@ from proofmill.llm.binary import op6_binary_output
 from proofmill.llm.mixing import op4_mixing
 from proofmill.llm.packing import op3_packing
 from proofmill.llm.quality_rules import op2_quality_rules
+from proofmill.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
