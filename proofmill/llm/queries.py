@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from proofmill.llm.binary import op6_binary_output
+from proofmill.llm.line_dedup import OP5_SQL, op5_line_dedup
 from proofmill.llm.mixing import op4_mixing
+from proofmill.llm.near_join import op9_ngram_jaccard_join
+from proofmill.llm.neighbours import op10_nearest_neighbours
 from proofmill.llm.packing import op3_packing
 from proofmill.llm.quality_rules import op2_quality_rules
 from proofmill.llm.substring_dedup import op1_substring_dedup
@@ -13,6 +16,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_binary_output": op6_binary_output,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
