@@ -281,10 +281,11 @@ def dedupe_claims(table):
 
 
 def _passages(table) -> DataFrame:
-    """Documents that hold a benchmark item: blocked by the item's first eight words, then compared whole."""
-    items = table("benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("k"))
+    """Documents that hold a benchmark item: blocked by the item's second to eighth words (the first may be the end of a
+    longer one in the document), then compared whole."""
+    items = table("benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 2, 7), " ").alias("k"))
     w = F.split("text", r"\s+")
-    shingle = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 8, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 8), " "))
+    shingle = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 7, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 7), " "))
     starts = table("documents").select("doc_id", "text", w.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(shingle)).alias("k"))
     return starts.join(items, "k").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
