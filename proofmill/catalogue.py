@@ -225,11 +225,11 @@ def normalize_names(table):
 
 @query()
 def name_similarity(table):
-    """Pairs of suppliers of one nation with like names (MTH-8, FLT-5, JN-5), blocked by nation and last digit."""
-    s = table("supplier").select("s_suppkey", "s_nationkey", "s_name", (F.col("s_suppkey") % 10).alias("b"))
-    pairs = s.alias("a").join(s.alias("b"), F.expr("a.s_nationkey = b.s_nationkey and a.b = b.b and a.s_suppkey < b.s_suppkey"))
-    score = names.similarity(F.col("a.s_name"), F.col("b.s_name"))
-    return pairs.select(F.col("a.s_suppkey").alias("left"), F.col("b.s_suppkey").alias("right"), score.alias("score")).where("score >= 0.85")
+    """Pairs of customers of one nation with like names (MTH-8, FLT-5, JN-5), blocked by nation and last digit."""
+    c = table("customer").select("c_custkey", "c_nationkey", "c_name", (F.col("c_custkey") % 10).alias("b"))
+    pairs = c.alias("a").join(c.alias("b"), F.expr("a.c_nationkey = b.c_nationkey and a.b = b.b and a.c_custkey < b.c_custkey"))
+    score = names.similarity(F.col("a.c_name"), F.col("b.c_name"))
+    return pairs.select(F.col("a.c_custkey").alias("left"), F.col("b.c_custkey").alias("right"), score.alias("score")).where("score >= 0.85")
 
 
 @query()
@@ -283,7 +283,7 @@ def dedupe_claims(table):
 def _passages(table) -> DataFrame:
     """Documents that hold a benchmark item: blocked by the item's second to eighth words (the first may be the end of a
     longer one in the document), then compared whole."""
-    items = table("benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 2, 7), " ").alias("k"))
+    items = table("benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 7), " ").alias("k"))
     w = F.split("text", r"\s+")
     shingle = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 7, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 7), " "))
     starts = table("documents").select("doc_id", "text", w.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(shingle)).alias("k"))
