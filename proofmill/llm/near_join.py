@@ -2,13 +2,17 @@
 
 A shingle's hash picks one bit of a document's sketch and flips it, so the sketches of two sets differ in at most as
 many bits as their symmetric difference has members. Two sets of at most H shingles with index t or more differ in at
-most D = 2H (1 - t) / (1 + t) of them: of D + 1 equal blocks of the sketch at least one is the same in both (pigeonhole).
+most D = 2H (1 - t) / (1 + t) of them: of B blocks of the sketch at least B - D are the same in both (pigeonhole), so of
+the D + 1 blocks that come first in any order that depends on a block's place and bits alone, the two sets share one.
+B is SPARE times D + 1, and the order puts last the blocks that a bounded sample shows to be frequent, and those with
+few bits: an empty block, or one with a single common shingle, is joined on by no document that has enough others.
 Documents are put in bands of sizes; a document near a band's end takes part in the next one, so that any two that may
 link share a band. A block is WIDTH bits; its bits are joined on by a 64-bit key.
 
 Sets that are equal link without sketches; one document stands for them. In each bucket of equal blocks the documents
 are linked with the least one, and, as far as that leaves them in different components, with each other. A pair's
-sketches must differ in no more blocks than its sizes allow, then its texts are compared exactly.
+sketches, folded to about two bits a shingle, must differ in no more bits than its sizes allow, then its texts are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from proofmill.llm.words import blocks, mixed, raw_texts, window_hashes, word_ha
 WIDTH = 256
 #: Sizes of a band reach from its start to this times as much.
 BAND = 1.5
+#: Blocks of a sketch for each block that is joined on.
+SPARE = 1.25
+#: About so many sets are sampled for frequent blocks; blocks that come so often in the sample are frequent.
+SAMPLE_ROWS, FREQUENT = 10_000, 5
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -54,70 +62,133 @@ def bands(n: int, percent: int) -> list[int]:
     return [*range(band_of(n), band_of(n * 100 // percent) + 1)]
 
 
-def blocks_of(band: int, percent: int) -> int:
-    """Blocks in the sketches of a band: one more than its sets may differ by."""
+def prefix_of(band: int, percent: int) -> int:
+    """Blocks that a set is joined on in a band: one more than its sets may differ by."""
     most = ceil(BAND ** (band + 1) + 1e-6)
     return 2 * most * (100 - percent) // (100 + percent) + 1
 
 
-def sketch(found: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Keys of the blocks of a set's sketch: each the exclusive or of a number for every bit that is set."""
-    m = blocks_of(band, percent)
+def sketch(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
+    """Keys of the blocks of a set's sketch that come first: each the exclusive or of a number for every bit that is set."""
+    first = prefix_of(band, percent)
+    m = ceil(SPARE * first)
     block = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    order = np.argsort(block, kind="stable")
-    bits = mixed((block * np.uint64(WIDTH) + (found & np.uint64(WIDTH - 1)) + np.uint64(1))[order] + (np.uint64(band) << np.uint64(48)))
-    block = block[order]
-    starts = np.flatnonzero(np.diff(block, prepend=np.uint64(m + 1)))
+    places, flips = np.unique(block * np.uint64(WIDTH) + (found & np.uint64(WIDTH - 1)), return_counts=True)
+    places = places[flips % 2 == 1]
+    block = (places // np.uint64(WIDTH)).astype(np.int64)
     keys = mixed(np.arange(m, dtype=np.uint64) + np.uint64(1) + (np.uint64(band) << np.uint64(40)))
-    keys[block[starts].astype(np.int64)] ^= np.bitwise_xor.reduceat(bits, starts)
-    return keys
+    if len(places):
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        keys[block[starts]] ^= np.bitwise_xor.reduceat(mixed(places + np.uint64(1) + (np.uint64(band) << np.uint64(48))), starts)
+    return keys[np.lexsort((keys, -np.bincount(block, minlength=m), frequent.counts(keys)))[:first]]
 
 
-_SKETCHES = "id long, n long, s1 long, s2 long, own int, keys array<long>"
+def folded(found: np.ndarray) -> bytes:
+    """The parity sketch of a set in 2 to 4 bits a shingle, within limits; a wider one folds to a narrower one."""
+    width = min(max(256, 1 << (2 * len(found)).bit_length()), 8192)
+    return np.packbits(np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2 == 1, bitorder="little").tobytes()
 
 
-def _sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """id, number of shingles, two sums that tell sets apart, blocks in its own band, block keys of all bands, the own first."""
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two folded sketches differ."""
+    short, long = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum())
+
+
+class Frequent:
+    """Keys that came back in the sample, sorted, and how often."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.count = keys[order], counts[order]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.count[at], 0)
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's id and the sorted hashes of its distinct shingles."""
+    ids, raws = batch.column(0).to_pylist(), [r.translate(_LOWER) for r in raw_texts(batch.column(1))]
+    for a, b in blocks(raws):
+        hashes, doc = word_hashes(raws[a:b])
+        windows, _ = window_hashes(hashes, doc, k)
+        at = np.searchsorted(doc, np.arange(b - a + 1))
+        for i in range(b - a):
+            lo, hi = at[i], at[i + 1]
+            if hi - lo >= k:
+                found = np.unique(windows[lo : hi - k + 1])
+            elif hi > lo:
+                found = window_hashes(hashes[lo:hi], doc[lo:hi], int(hi - lo))[0] + np.uint64(hi - lo)
+            else:
+                found = np.empty(0, np.uint64)
+            yield ids[a + i], found
+
+
+_SKETCHES = "id long, n long, s1 long, s2 long, bits binary"
+
+
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """id, number of shingles, two sums that tell sets apart, folded sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), [r.translate(_LOWER) for r in raw_texts(batch.column(1))]
-            for a, b in blocks(raws):
-                hashes, doc = word_hashes(raws[a:b])
-                windows, one = window_hashes(hashes, doc, k)
-                at = np.searchsorted(doc, np.arange(b - a + 1))
-                rows = []
-                for i in range(b - a):
-                    lo, hi = at[i], at[i + 1]
-                    if hi - lo >= k:
-                        found = np.unique(windows[lo : hi - k + 1])
-                    elif hi > lo:
-                        found = window_hashes(hashes[lo:hi], doc[lo:hi], int(hi - lo))[0] + np.uint64(hi - lo)
-                    else:
-                        found = np.empty(0, np.uint64)
-                    n = len(found)
-                    kept = [band for band in bands(n, percent) if blocks_of(band, percent) > 1] if n else []
-                    keys = np.concatenate([sketch(found, band, percent) for band in kept]) if kept else np.empty(0, np.uint64)
-                    sums = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
-                    rows.append((ids[a + i], n, *(int(s.view(np.int64)) for s in sums), blocks_of(kept[0], percent) if kept else 0, keys.view(np.int64)))
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64())]
+            rows = []
+            for key, found in _sets(batch, k):
+                sums = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
+                rows.append((key, len(found), *(int(s.view(np.int64)) for s in sums), folded(found)))
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _SKETCHES.split(", ")])
 
     return docs.mapInArrow(run, _SKETCHES)
 
 
+def _entries(docs: DataFrame, k: int, percent: int, frequent: Frequent) -> DataFrame:
+    """key, id: the blocks that each text is joined on, in all of its bands."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, size = [], [], 0
+            for key, found in _sets(batch, k):
+                for band in bands(len(found), percent) if len(found) else []:
+                    if prefix_of(band, percent) > 1:  # else only equal sets link
+                        keys.append(sketch(found, band, percent, held.value))
+                        ids.append(np.full(len(keys[-1]), key, np.int64))
+                        size += len(keys[-1])
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+                    keys, ids, size = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return docs.mapInArrow(run, "key long, id long")
+
+
+def _frequent(docs: DataFrame, own: DataFrame, k: int, percent: int) -> Frequent:
+    """Keys that FREQUENT or more of about SAMPLE_ROWS sampled sets have: they set the order of blocks, never what is found."""
+    share = min(1.0, SAMPLE_ROWS / max(own.count(), 1))
+    chosen = own.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id")
+    sample = docs.join(F.broadcast(chosen), "id", "left_semi")  # about SAMPLE_ROWS ids
+    counts = _entries(sample, k, percent, Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))).groupBy("key").count().where(F.col("count") >= FREQUENT).toPandas()
+    return Frequent(counts["key"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link and whose texts have it."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}"), F.col("keys").alias(f"keys_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    apart = F.floor((low + high) * (100 - percent) / (100 + percent))  # bits, so blocks, that may differ
-    same = F.when(F.col("n_a") >= F.col("n_b"), F.size(F.array_intersect(F.slice("keys_a", F.lit(1), F.col("own_a")), "keys_b"))).otherwise(
-        F.size(F.array_intersect(F.slice("keys_b", F.lit(1), F.col("own_b")), "keys_a"))
-    )
-    own = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b"))
-    near = both.where((100 * low >= percent * high) & (same + apart >= own)).select("a", "b")
-    near = written(near, "near")
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+            good = [apart(x, y) * (100 + percent) <= (n + m) * (100 - percent) for n, m, x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = written(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(close, "a long, b long"), "near")
     text = lambda c: docs.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +200,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, pe
                     if a != last:
                         last, one = a, shingles(a, k)
                     good.append(linked(one, shingles(b, k), percent))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_a = near.join(text("a"), "a")
     return with_a.join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -144,23 +215,24 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     themselves. Rows that share an id count as linked when their sets are equal, and otherwise share what links either.
     """
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    sketches = written(_sketches(plain, k, percent), "sketches")
+    sketches = written(_sketches(plain, k), "sketches")
     sets = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     sets = written(sets, "sets")
     classes = sketches.where("n > 0").join(sets, ["n", "s1", "s2"]).select("id", "rep")
 
-    own = sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("size(keys) > 0")
-    entries = own.select("id", F.explode("keys").alias("key"))
-    hubs = written(entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("count")).where("count > 1").select("key", "hub"), "hubs")
+    own = written(sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bits"), "own")
+    frequent = _frequent(plain, own, k, percent)
+    entries = written(_entries(plain.join(own.select("id"), "id", "left_semi"), k, percent, frequent), "entries")
+    hubs = written(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "hubs")
     shared = written(entries.join(hubs, "key").select("key", "hub", "id"), "shared")
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(stars, own, plain, k, percent), "links")
 
     # Members of a bucket that are still apart from each other, and weren't compared with the hub, meet in pairs.
     part = components(links)
-    apart = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
-    torn = written(apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "torn")
-    open_ = written(apart.join(torn, "key").where("id <> hub"), "open")
+    parted = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
+    torn = written(parted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "torn")
+    open_ = written(parted.join(torn, "key").where("id <> hub"), "open")
     pairs = open_.alias("p").join(open_.alias("q"), F.expr("p.key = q.key and p.component < q.component"))
     pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     more = written(_verified(pairs, own, plain, k, percent), "more-links")
@@ -170,7 +242,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sized = sketches.select("id", F.col("n").alias("n_shingles"), "s1", "s2")
     reached = placed.groupBy("id").agg(F.min("component_id").alias("component_id"))
     known = sized.join(reached, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    nulls = _sketches(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("id"), F.col("text").cast("string")), k, percent)
+    nulls = _sketches(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("id"), F.col("text").cast("string")), k)
     return known.unionByName(nulls.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 

@@ -35,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again: what follows no longer depends on executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
