@@ -6,12 +6,13 @@ most D = 2H (1 - t) / (1 + t) of them: of B blocks of the sketch at least B - D
 the D + 1 blocks that come first in any order that depends on a block's place and bits alone, the two sets share one.
 B is SPARE times D + 1, and the order puts last the blocks that a bounded sample shows to be frequent, and those with
 few bits: an empty block, or one with a single common shingle, is joined on by no document that has enough others.
+With MORE blocks beyond those D + 1 the two sets share 1 + MORE.
 Documents are put in bands of sizes; a document near a band's end takes part in the next one, so that any two that may
 link share a band. A block is WIDTH bits; its bits are joined on by a 64-bit key.
 
 Sets that are equal link without sketches; one document stands for them. In each bucket of equal blocks the documents
 are linked with the least one, and, as far as that leaves them in different components, with each other. A pair's
-sketches, folded to about two bits a shingle, must differ in no more bits than its sizes allow, then its texts are
+sketches must share 1 + MORE blocks (but with the least document), and, folded to about two bits a shingle, must differ in no more bits than its sizes allow, then its texts are
 compared exactly.
 """
 
@@ -34,8 +35,10 @@ WIDTH = 256
 BAND = 1.5
 #: Blocks of a sketch for each block that is joined on.
 SPARE = 1.25
+#: Blocks that are joined on beyond those that must share one.
+MORE = 3
 #: About so many sets are sampled for frequent blocks; blocks that come so often in the sample are frequent.
-SAMPLE_ROWS, FREQUENT = 10_000, 5
+SAMPLE_ROWS, FREQUENT = 20_000, 3
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -63,7 +66,7 @@ def bands(n: int, percent: int) -> list[int]:
 
 
 def prefix_of(band: int, percent: int) -> int:
-    """Blocks that a set is joined on in a band: one more than its sets may differ by."""
+    """Of that many blocks of a band's set, one is shared with each set it may link: one more than they may differ by."""
     most = ceil(BAND ** (band + 1) + 1e-6)
     return 2 * most * (100 - percent) // (100 + percent) + 1
 
@@ -71,7 +74,7 @@ def prefix_of(band: int, percent: int) -> int:
 def sketch(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
     """Keys of the blocks of a set's sketch that come first: each the exclusive or of a number for every bit that is set."""
     first = prefix_of(band, percent)
-    m = ceil(SPARE * first)
+    m = max(ceil(SPARE * first), first + MORE)
     block = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     places, flips = np.unique(block * np.uint64(WIDTH) + (found & np.uint64(WIDTH - 1)), return_counts=True)
     places = places[flips % 2 == 1]
@@ -80,7 +83,7 @@ def sketch(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np
     if len(places):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         keys[block[starts]] ^= np.bitwise_xor.reduceat(mixed(places + np.uint64(1) + (np.uint64(band) << np.uint64(48))), starts)
-    return keys[np.lexsort((keys, -np.bincount(block, minlength=m), frequent.counts(keys)))[:first]]
+    return keys[np.lexsort((keys, -np.bincount(block, minlength=m), frequent.counts(keys)))[: first + MORE]]
 
 
 def folded(found: np.ndarray) -> bytes:
@@ -234,7 +237,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     torn = written(parted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "torn")
     open_ = written(parted.join(torn, "key").where("id <> hub"), "open")
     pairs = open_.alias("p").join(open_.alias("q"), F.expr("p.key = q.key and p.component < q.component"))
-    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    pairs = pairs.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).count().where(F.col("count") > MORE).select("a", "b")
     more = written(_verified(pairs, own, plain, k, percent), "more-links")
 
     found = components(links.unionByName(more))
