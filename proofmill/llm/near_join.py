@@ -12,8 +12,8 @@ link share a band. A block is WIDTH bits; its bits are joined on by a 64-bit key
 
 Sets that are equal link without sketches; one document stands for them. In each bucket of equal blocks the documents
 are linked with the least one, and, as far as that leaves them in different components, with each other. A pair's
-sketches must share 1 + MORE blocks (but with the least document), and, folded to about two bits a shingle, must differ in no more bits than its sizes allow, then its texts are
-compared exactly.
+sketches must share 1 + MORE blocks (but with the least document), and, folded to about two bits a shingle, must differ
+in no more bits than its sizes allow, then its texts are compared exactly.
 """
 
 from __future__ import annotations
