@@ -4,16 +4,16 @@ A shingle's hash picks one bit of a document's sketch and flips it, so the sketc
 many bits as their symmetric difference has members. Two sets of at most H shingles with index t or more differ in at
 most D = 2H (1 - t) / (1 + t) of them: of B blocks of the sketch at least B - D are the same in both (pigeonhole), so of
 the D + 1 blocks that come first in any order that depends on a block's place and bits alone, the two sets share one.
-B is SPARE times D + 1, and the order puts last the blocks that a bounded sample shows to be frequent, and those with
-few bits: an empty block, or one with a single common shingle, is joined on by no document that has enough others.
-With MORE blocks beyond those D + 1 the two sets share 1 + MORE.
+B is SPARE times D + 1 (and one more). Blocks are counted over all documents, and the order puts the frequent ones last:
+a block that holds shingles of a common passage alone is joined on by no document that has enough others. Blocks without
+a bit come after all others, so that a document names one only if it must.
 Documents are put in bands of sizes; a document near a band's end takes part in the next one, so that any two that may
 link share a band. A block is WIDTH bits; its bits are joined on by a 64-bit key.
 
 Sets that are equal link without sketches; one document stands for them. In each bucket of equal blocks the documents
-are linked with the least one, and, as far as that leaves them in different components, with each other. A pair's
-sketches must share 1 + MORE blocks (but with the least document), and, folded to about two bits a shingle, must differ
-in no more bits than its sizes allow, then its texts are compared exactly.
+are linked with the least one, and, as far as that leaves them in different components, with each other. Such pairs are
+dropped in the join itself if sizes, or the sketches folded to COARSE bits, rule a link out. What is left must differ, in
+sketches of about two bits a shingle, in no more bits than its sizes allow, then its texts are compared exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.components import components
@@ -35,10 +35,8 @@ WIDTH = 256
 BAND = 1.5
 #: Blocks of a sketch for each block that is joined on.
 SPARE = 1.25
-#: Blocks that are joined on beyond those that must share one.
-MORE = 3
-#: About so many sets are sampled for frequent blocks; blocks that come so often in the sample are frequent.
-SAMPLE_ROWS, FREQUENT = 20_000, 3
+#: Bits of the sketches that are compared in the join of pairs, by words of 64.
+COARSE = 512
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -71,25 +69,32 @@ def prefix_of(band: int, percent: int) -> int:
     return 2 * most * (100 - percent) // (100 + percent) + 1
 
 
-def sketch(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
-    """Keys of the blocks of a set's sketch that come first: each the exclusive or of a number for every bit that is set."""
+def sketch(found: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the blocks of a set's sketch, each the exclusive or of a number for every bit that is set, and how many of
+    the most frequent ones needn't be joined on. Blocks without a bit are left out as far as the others are enough."""
     first = prefix_of(band, percent)
-    m = max(ceil(SPARE * first), first + MORE)
+    m = ceil(SPARE * first) + 1
     block = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     places, flips = np.unique(block * np.uint64(WIDTH) + (found & np.uint64(WIDTH - 1)), return_counts=True)
     places = places[flips % 2 == 1]
     block = (places // np.uint64(WIDTH)).astype(np.int64)
     keys = mixed(np.arange(m, dtype=np.uint64) + np.uint64(1) + (np.uint64(band) << np.uint64(40)))
+    filled = np.zeros(m, bool)
     if len(places):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         keys[block[starts]] ^= np.bitwise_xor.reduceat(mixed(places + np.uint64(1) + (np.uint64(band) << np.uint64(48))), starts)
-    return keys[np.lexsort((keys, -np.bincount(block, minlength=m), frequent.counts(keys)))[: first + MORE]]
+        filled[block[starts]] = True
+    named = np.concatenate([keys[filled], np.sort(keys[~filled])[: max(first - int(filled.sum()), 0)]])
+    return named, len(named) - first
+
+
+def parity(found: np.ndarray, width: int) -> np.ndarray:
+    return np.packbits(np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2 == 1, bitorder="little")
 
 
 def folded(found: np.ndarray) -> bytes:
     """The parity sketch of a set in 2 to 4 bits a shingle, within limits; a wider one folds to a narrower one."""
-    width = min(max(256, 1 << (2 * len(found)).bit_length()), 8192)
-    return np.packbits(np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2 == 1, bitorder="little").tobytes()
+    return parity(found, min(max(256, 1 << (2 * len(found)).bit_length()), 8192)).tobytes()
 
 
 def apart(a: bytes, b: bytes) -> int:
@@ -98,20 +103,6 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum())
 
 
-class Frequent:
-    """Keys that came back in the sample, sorted, and how often."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.count = keys[order], counts[order]
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.count[at], 0)
-
-
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each text's id and the sorted hashes of its distinct shingles."""
     ids, raws = batch.column(0).to_pylist(), [r.translate(_LOWER) for r in raw_texts(batch.column(1))]
@@ -130,54 +121,53 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield ids[a + i], found
 
 
-_SKETCHES = "id long, n long, s1 long, s2 long, bits binary"
+_COARSE = [f"w{i}" for i in range(COARSE // 64)]
+_SKETCHES = "id long, n long, s1 long, s2 long, bits binary" + "".join(f", {w} long" for w in _COARSE)
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """id, number of shingles, two sums that tell sets apart, folded sketch."""
+    """id, number of shingles, two sums that tell sets apart, folded sketch, and a narrower one in words of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, found in _sets(batch, k):
                 sums = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
-                rows.append((key, len(found), *(int(s.view(np.int64)) for s in sums), folded(found)))
+                rows.append((key, len(found), *(int(s.view(np.int64)) for s in sums), folded(found), *parity(found, COARSE).view(np.int64).tolist()))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.binary()]
+                kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * len(_COARSE)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _SKETCHES.split(", ")])
 
     return docs.mapInArrow(run, _SKETCHES)
 
 
-def _entries(docs: DataFrame, k: int, percent: int, frequent: Frequent) -> DataFrame:
-    """key, id: the blocks that each text is joined on, in all of its bands."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+_ENTRIES = "key long, id long, band short, spare int"
+
+
+def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The blocks that each text may be joined on, in all of its bands; spare of them needn't be, the most frequent ones."""
+
+    def made(parts: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        sizes = [len(p[0]) for p in parts]
+        rest = [np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((1, np.int64), (2, np.int16), (3, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), *map(pa.array, rest)], ["key", "id", "band", "spare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, size = [], [], 0
+            parts, size = [], 0
             for key, found in _sets(batch, k):
                 for band in bands(len(found), percent) if len(found) else []:
                     if prefix_of(band, percent) > 1:  # else only equal sets link
-                        keys.append(sketch(found, band, percent, held.value))
-                        ids.append(np.full(len(keys[-1]), key, np.int64))
-                        size += len(keys[-1])
+                        keys, spare = sketch(found, band, percent)
+                        parts.append((keys, key, band, spare))
+                        size += len(keys)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
-                    keys, ids, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
-
-    return docs.mapInArrow(run, "key long, id long")
-
+                    yield made(parts)
+                    parts, size = [], 0
+            if parts:
+                yield made(parts)
 
-def _frequent(docs: DataFrame, own: DataFrame, k: int, percent: int) -> Frequent:
-    """Keys that FREQUENT or more of about SAMPLE_ROWS sampled sets have: they set the order of blocks, never what is found."""
-    share = min(1.0, SAMPLE_ROWS / max(own.count(), 1))
-    chosen = own.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id")
-    sample = docs.join(F.broadcast(chosen), "id", "left_semi")  # about SAMPLE_ROWS ids
-    counts = _entries(sample, k, percent, Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))).groupBy("key").count().where(F.col("count") >= FREQUENT).toPandas()
-    return Frequent(counts["key"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64))
+    return docs.mapInArrow(run, _ENTRIES)
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,11 +213,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = written(sets, "sets")
     classes = sketches.where("n > 0").join(sets, ["n", "s1", "s2"]).select("id", "rep")
 
-    own = written(sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bits"), "own")
-    frequent = _frequent(plain, own, k, percent)
-    entries = written(_entries(plain.join(own.select("id"), "id", "left_semi"), k, percent, frequent), "entries")
-    hubs = written(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "hubs")
-    shared = written(entries.join(hubs, "key").select("key", "hub", "id"), "shared")
+    own = written(sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").drop("s1", "s2"), "own")
+    entries = written(_entries(plain.join(own.select("id"), "id", "left_semi"), k, percent), "entries")
+    often = written(entries.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "often")
+    order = Window.partitionBy("id", "band").orderBy(F.desc("met"), "key")
+    joined = entries.join(often, "key").withColumn("place", F.row_number().over(order)).where("place > spare").select("key", "id")
+    joined = written(joined, "joined")
+    hubs = written(joined.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "hubs")
+    shared = written(joined.join(hubs, "key").select("key", "hub", "id"), "shared")
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(stars, own, plain, k, percent), "links")
 
@@ -235,9 +228,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     part = components(links)
     parted = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
     torn = written(parted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "torn")
-    open_ = written(parted.join(torn, "key").where("id <> hub"), "open")
-    pairs = open_.alias("p").join(open_.alias("q"), F.expr("p.key = q.key and p.component < q.component"))
-    pairs = pairs.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).count().where(F.col("count") > MORE).select("a", "b")
+    open_ = written(parted.join(torn, "key").where("id <> hub").join(own.drop("bits"), "id"), "open")
+    differ = " + ".join(f"bit_count(p.{w} ^ q.{w})" for w in _COARSE)
+    fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and ({differ}) * {100 + percent} <= (p.n + q.n) * {100 - percent}"
+    pairs = open_.alias("p").join(open_.alias("q"), F.expr(f"p.key = q.key and p.component < q.component and {fits}"))
+    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     more = written(_verified(pairs, own, plain, k, percent), "more-links")
 
     found = components(links.unionByName(more))
