@@ -267,10 +267,20 @@ def redact_tokens(table):
 
 @query("SELECT doc_id, sha256(text) AS cleaned, 3 AS removed FROM documents WHERE lang = 'en'")
 def clean_text(table):
-    """Controls and escape codes are removed and counted (STR-1)."""
-    dirty = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("​\x07"))
-    cleaned = guards.clean_text(dirty)
-    return table("documents").where("lang = 'en'").select("doc_id", F.sha2(cleaned["text"], 256).alias("cleaned"), cleaned["removed"].alias("removed"))
+    """Controls and escape codes are removed and counted (STR-1). Only the English texts, which the SQL can express;
+    ``clean_text_all`` has those of all languages."""
+    return _cleaned(table("documents").where("lang = 'en'"))
+
+
+@query()
+def clean_text_all(table):
+    """As ``clean_text``, over the documents of all languages. No SQL: DuckDB has no NFKC."""
+    return _cleaned(table("documents"))
+
+
+def _cleaned(docs: DataFrame) -> DataFrame:
+    cleaned = guards.clean_text(F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("​\x07")))
+    return docs.select("doc_id", F.sha2(cleaned["text"], 256).alias("cleaned"), cleaned["removed"].alias("removed"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
