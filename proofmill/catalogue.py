@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions import dates, guards, money, names
-from proofmill.operators import claims, ledger
+from proofmill.operators import claims, ledger, matching
 from proofmill.plans import rules
 from proofmill.streaming import journal
 
@@ -235,11 +235,13 @@ def name_similarity(table):
 @query()
 def best_place(table):
     """The best match of each supplier among its nation's customers' names, first of equals (JN-6)."""
-    s = table("supplier").where("s_suppkey % 20 = 1")
-    c = table("customer").select("c_custkey", F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("title"), "c_nationkey")
-    near = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.right("s_name", F.lit(1)) == F.right("title", F.lit(1))))
-    scored = near.withColumn("score", names.similarity(F.col("s_name"), F.col("title"))).where("score >= 0.85")
-    return scored.groupBy("s_suppkey").agg(F.max_by(F.struct("c_custkey", "score"), F.struct("score", -F.col("c_custkey"))).alias("p")).select("s_suppkey", "p.c_custkey", "p.score")
+    s = table("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), names.match_key(F.col("s_name")).alias("key"))
+    title = F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))
+    c = table("customer").groupBy(F.col("c_nationkey").alias("nation"), names.match_key(title).alias("key")).agg(F.min("c_custkey").alias("c_custkey"))
+    pairs = matching.alike(s.select("nation", "key").distinct(), c.select("nation", "key"), "nation", 0.85)
+    scored = pairs.join(c.withColumnRenamed("key", "b"), ["nation", "b"])
+    best = scored.groupBy("nation", F.col("a").alias("key")).agg(F.max_by(F.struct("c_custkey", "score"), F.struct("score", -F.col("c_custkey"))).alias("p"))
+    return s.join(best, ["nation", "key"]).select("s_suppkey", "p.c_custkey", "p.score")
 
 
 @query("SELECT doc_id, 'PAN: [pan] of [email], [house no.] ' || CASE WHEN doc_id % 2 = 0 THEN '[aadhaar]' ELSE '2345 6789 0123' END AS masked FROM documents")

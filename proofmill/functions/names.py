@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,15 +78,50 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-def _sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 LCS / (length + length) of the sorted tokens; 0 if either is empty."""
+def _places(texts: list[str], width: int) -> np.ndarray:
+    """Codes of ASCII texts, a row each, padded with 0."""
+    return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("ascii"), np.uint8).reshape(len(texts), width)
 
-    def one(x: str | None, y: str | None) -> float:
-        x, y = (" ".join(sorted((t or "").split())) for t in (x, y))
-        return 2 * _lcs(x, y) / (len(x) + len(y)) if x and y else 0.0
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+def _lcs_many(xs: list[str], ys: list[str]) -> np.ndarray:
+    """_lcs of many pairs at once; texts are ASCII, those of xs hold 64 letters at most."""
+    a, b = (_places(t, max(map(len, t), default=0)) for t in (xs, ys))
+    n, row = len(xs), np.arange(len(xs))
+    places = np.zeros((n, 128), np.uint64)
+    for i in range(a.shape[1]):
+        places[row, a[:, i]] |= np.uint64(1 << i)
+    places[:, 0] = 0  # padding matches nothing
+    s = np.full(n, ~np.uint64(0))
+    for j in range(b.shape[1]):
+        u = s & places[row, b[:, j]]
+        s = (s + u) | (s - u)
+    return np.bitwise_count(~s).astype(np.int64)
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 LCS / (length + length) of names whose tokens are sorted; 0 if either is empty."""
+    out = np.zeros(len(a))
+    xs, ys = a.fillna("").tolist(), b.fillna("").tolist()
+    full = [i for i, (x, y) in enumerate(zip(xs, ys, strict=True)) if x and y]
+    short = [i for i in full if len(xs[i]) <= 64 and xs[i].isascii() and ys[i].isascii()]
+    if short:
+        out[short] = _lcs_many([xs[i] for i in short], [ys[i] for i in short])
+    for i in set(full).difference(short):
+        out[i] = _lcs(xs[i], ys[i])
+    for i in full:
+        out[i] = 2 * out[i] / (len(xs[i]) + len(ys[i]))
+    return pd.Series(out)
+
+
+def match_key(name: Column) -> Column:
+    """The normalized name, its tokens sorted: what ``similarity`` compares."""
+    return F.array_join(F.array_sort(F.split(normalize_company(name), " ")), " ")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Similarity of two match keys."""
+    return F.pandas_udf(_ratio, "double")(a, b)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_sorted_ratio, "double")(normalize_company(a), normalize_company(b))
+    return ratio(match_key(a), match_key(b))

@@ -1,11 +1,14 @@
 """Queries take all rows of their tables: small fixtures against brute force."""
 
 import hashlib
+import random
 import re
 import unicodedata
 
+import pandas as pd
+
 from proofmill import catalogue
-from proofmill.functions import guards
+from proofmill.functions import guards, names
 
 
 def tables(spark, folder, **rows):
@@ -27,3 +30,53 @@ def test_clean_text_all(spark, tmp_path):
 
     got = {r.doc_id: (r.cleaned, r.removed) for r in catalogue.QUERIES["clean_text_all"](spark, sf).collect()}
     assert got == {i: (None, None) if t is None else want(t) for i, t, _ in docs}
+
+
+def companies(n, seed):
+    """Ids, names (some alike, some equal) and nations; also names as in the tables, long ones, an empty one and none."""
+    r = random.Random(seed)
+    stems = ["Customer#%09d" % r.randrange(400) for _ in range(8)] + ["Kaveri Steel", "Oasis Corpcare", "A B Cloud", "Maruti Corporation", "Varanium Technologies of " + "India " * 12, "ab", "The Ltd"]
+
+    def one():
+        t = list(r.choice(stems))
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            t[r.randrange(len(t))] = r.choice(["", "x", "1", "ab"])
+        return "".join(t) + r.choice(["", " Ltd", " Private Limited"])
+
+    return [(i, None if i == 7 else one(), r.randrange(3)) for i in range(n)]
+
+
+def brute(a, b):
+    """The score of two names, each pair for itself; names here are ASCII."""
+    def key(x):
+        x = re.sub(r"^\s*m\s*/\s*s\.?\s*", "", x.lower()).replace("&", " and ")
+        out, run = [], False
+        for t in re.sub("[^a-z0-9]+", " ", x).split():
+            if t in names.LEGAL:
+                continue
+            one = len(t) == 1 and t.isalpha()
+            out[len(out) - (one and run) :] = [(out[-1] if one and run else "") + t]
+            run = one
+        return " ".join(sorted(out))
+
+    x, y = key(a or ""), key(b or "")
+    return 2 * names._lcs(x, y) / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_many_subsequences():
+    r = random.Random(1)
+    pairs = [("".join(r.choices("abc ", k=r.choice([0, 1, 5, 63, 64, 65, 90]))), "".join(r.choices("abc ", k=r.choice([0, 3, 64, 100])))) for _ in range(300)]
+    want = [2 * names._lcs(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in pairs]
+    assert names._ratio(pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs])).tolist() == want
+
+
+def test_best_place(spark, tmp_path):
+    customers, suppliers = companies(150, 1), [(i, n and n.replace("Customer", "Supplier"), k) for i, n, k in companies(60, 2)]
+    sf = tables(spark, tmp_path, customer=(customers, "c_custkey long, c_name string, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_name string, s_nationkey int"))
+    want = {}
+    for i, name, nation in suppliers:
+        near = [(brute(name, c and c.replace("Customer", "Supplier")), -j) for j, c, k in customers if k == nation]
+        if near and max(near)[0] >= 0.85:
+            want[i] = (-max(near)[1], round(max(near)[0], 9))
+    got = {r.s_suppkey: (r.c_custkey, round(r.score, 9)) for r in catalogue.QUERIES["best_place"](spark, sf).collect()}
+    assert got == want and len(want) > 30
