@@ -225,11 +225,12 @@ def normalize_names(table):
 
 @query()
 def name_similarity(table):
-    """Pairs of customers of one nation with like names (MTH-8, FLT-5, JN-5), blocked by nation and last digit."""
-    c = table("customer").select("c_custkey", "c_nationkey", "c_name", (F.col("c_custkey") % 10).alias("b"))
-    pairs = c.alias("a").join(c.alias("b"), F.expr("a.c_nationkey = b.c_nationkey and a.b = b.b and a.c_custkey < b.c_custkey"))
-    score = names.similarity(F.col("a.c_name"), F.col("b.c_name"))
-    return pairs.select(F.col("a.c_custkey").alias("left"), F.col("b.c_custkey").alias("right"), score.alias("score")).where("score >= 0.85")
+    """Pairs of customers of one nation with like names (MTH-8, FLT-5, JN-5): all that score 0.85."""
+    c = table("customer").select("c_custkey", F.col("c_nationkey").alias("nation"), names.match_key(F.col("c_name")).alias("key"))
+    pairs = matching.alike(c.select("nation", "key").distinct(), None, "nation", 0.85)
+    of = lambda k: c.select("nation", F.col("key").alias(k), F.col("c_custkey").alias(f"id_{k}"))
+    found = pairs.join(of("a"), ["nation", "a"]).join(of("b"), ["nation", "b"]).where("a <> b or id_a < id_b")
+    return found.select(F.least("id_a", "id_b").alias("left"), F.greatest("id_a", "id_b").alias("right"), "score")
 
 
 @query()

@@ -80,3 +80,11 @@ def test_best_place(spark, tmp_path):
             want[i] = (-max(near)[1], round(max(near)[0], 9))
     got = {r.s_suppkey: (r.c_custkey, round(r.score, 9)) for r in catalogue.QUERIES["best_place"](spark, sf).collect()}
     assert got == want and len(want) > 30
+
+
+def test_name_similarity(spark, tmp_path):
+    customers = companies(200, 3)
+    sf = tables(spark, tmp_path, customer=(customers, "c_custkey long, c_name string, c_nationkey int"))
+    want = {(i, j): round(s, 9) for i, a, k in customers for j, b, m in customers if i < j and k == m and (s := brute(a, b)) >= 0.85}
+    got = [(r.left, r.right, round(r.score, 9)) for r in catalogue.QUERIES["name_similarity"](spark, sf).collect()]
+    assert len(got) == len(want) > 200 and {(i, j): s for i, j, s in got} == want
