@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -52,20 +58,98 @@ def depth(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         at = at.join(q, "p", "left").select("n", F.col("pp").alias("p"), (F.col("d") + F.coalesce("dd", F.lit(0))).alias("d"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """part, doc, ord, n of the rows of a task."""
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def _summary(sizes: list[int], cap: int) -> tuple[list[int], list[int], list[int]]:
+    """What a part of a document does to any open chunk: running sums of its blocks as far as the first break can lie,
+    and for a chunk that begins there its size at the part's end and how many more are begun."""
+    m = len(sizes)
+    sums = [0, *accumulate(sizes)]
+    ends, cuts, full = [0] * m, [0] * m, m
+    for i in range(m - 1, -1, -1):
+        if sizes[i] > 0:
+            full = i  # blocks before the first that isn't empty fit anyway, and it does
+        j = max(full + 1, bisect_right(sums, sums[i] + cap) - 1)
+        ends[i], cuts[i] = (sums[m] - sums[i], 0) if j >= m else (ends[j], cuts[j] + 1)
+    n = min(m, bisect_left(sums, cap, 1))
+    return sums[1 : n + 1], ends[:n], cuts[:n]
+
+
 def chunks(pages: DataFrame, doc: str, order: str, block: str, cap: int = 20480) -> DataFrame:
     """Greedy chunks of a document's blocks: one is closed when the next would bring it over ``cap`` UTF-8 bytes.
-    A fold over one document's ordered blocks; documents are independent."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<struct<ord:bigint,chunk:int,bytes:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["size"] + x["n"] <= cap) | (s["size"] == 0)
-        size, chunk = F.when(fits, s["size"] + x["n"]).otherwise(x["n"]), F.when(fits, s["chunk"]).otherwise(s["chunk"] + 1)
-        item = F.struct(x["ord"].alias("ord"), chunk.alias("chunk"), x["n"].alias("bytes"))
-        return F.struct(size.alias("size"), chunk.alias("chunk"), F.array_append(s["out"], item).alias("out"))
-
-    blocks = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("ord"), F.octet_length(block).alias("n"))))
-    folded = pages.groupBy(doc).agg(blocks.alias("b")).select(doc, F.explode(F.aggregate("b", start, step, lambda s: s["out"])).alias("o"))
-    return folded.groupBy(doc, F.col("o.chunk").alias("chunk")).agg(F.min("o.ord").alias("first"), F.max("o.ord").alias("last"), F.sum("o.bytes").alias("bytes"))
+
+    Rows are dealt by ranges of document and order, so a large document lies in many tasks and in no single row. A
+    summary of each task's first and last document gives the chunk that is open where the next task begins.
+    """
+    sizes = pages.select(F.col(doc).alias("doc"), F.col(order).cast("bigint").alias("ord"), F.coalesce(F.octet_length(block), F.lit(0)).cast("bigint").alias("n"))
+    dealt = sizes.repartitionByRange("doc", "ord", "n").sortWithinPartitions("doc", "ord", "n").select(F.spark_partition_id().alias("part"), "doc", "ord", "n").checkpoint()
+    kind = dealt.schema["doc"].dataType.simpleString()
+    arrays = [pa.list_(pa.int64())] * 3
+    doc_type = to_arrow_type(dealt.schema["doc"].dataType)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []  # the first and the latest document: part, doc, sizes
+        for part, d, _, n in _runs(batches):
+            if not found or found[-1][1] != d:
+                found = [*found[:1], (part, d, [])]
+            found[-1][2].append(n)
+        if found:
+            out = [(part, d, sum(x), *_summary(x, cap)) for part, d, x in found]
+            columns = zip([pa.int32(), doc_type, pa.int64(), *arrays], zip(*out, strict=True), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for t, c in columns], ["part", "doc", "total", "sums", "ends", "cuts"])
+
+    parts: dict[int, list] = {}
+    for r in dealt.mapInArrow(ends, f"part int, doc {kind}, total long, sums array<long>, ends array<long>, cuts array<long>").collect():  # two rows a task at most
+        parts.setdefault(r.part, []).append(r)
+    opened: dict[int, tuple[int, int]] = {}
+    last, size, chunk = None, 0, 0
+    for k in sorted(parts):
+        if last is not None and last[0] == parts[k][0].doc:
+            opened[k] = (size, chunk)
+        r = parts[k][-1]
+        if len(parts[k]) > 1 or k not in opened:
+            size, chunk = 0, 0
+        j = bisect_right(r.sums, cap - size) if size else 0
+        if size and j == len(r.sums):
+            size += r.total
+        else:
+            size, chunk = r.ends[j], chunk + r.cuts[j] + bool(size)
+        last = (r.doc,)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now: list | None = None  # doc, chunk, first, last, bytes here
+        begun, size, chunk, at = False, 0, 0, None
+
+        def batch() -> pa.RecordBatch:
+            types = [doc_type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for t, c in zip(types, zip(*out, strict=True), strict=True)], ["doc", "chunk", "first", "last", "bytes"])
+
+        for part, d, o, n in _runs(batches):
+            if not begun or at != d:
+                size, chunk = (0, 0) if begun else opened.get(part, (0, 0))
+                begun, at = True, d
+            if size and size + n > cap:
+                size, chunk = 0, chunk + 1
+            size += n
+            if now is None or now[:2] != [d, chunk]:
+                if now:
+                    out.append(tuple(now))
+                now = [d, chunk, o, o, 0]
+            now[3], now[4] = o, now[4] + n
+            if len(out) >= 10_000:
+                yield batch()
+                out.clear()
+        if now:
+            out.append(tuple(now))
+            yield batch()
+
+    folded = dealt.mapInArrow(packed, f"doc {kind}, chunk int, first long, last long, bytes long")
+    return folded.groupBy(F.col("doc").alias(doc), "chunk").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("bytes").alias("bytes"))
 
 
 def section_ends(titles: DataFrame, doc: str, start: str, position: str, last_page: str) -> DataFrame:
