@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +13,32 @@ def read(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def once(events: DataFrame, key: list[str], at: str, late: str = "1 hour") -> DataFrame:
-    """Each key once, whatever is sent again within the delay."""
+def once(events: DataFrame, key: list[str], at: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Each key once: whatever is sent again within the delay, or without ``at`` again at any time. The latter drops no
+    late row and keeps all keys in the stream's state, on the executors."""
+    if at is None:
+        return events.dropDuplicates(key)
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local master may do without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="proofmill-")
+    return folder
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """All that the stream has to read, written as Parquet to the shared folder and read again."""
+    spark, at = stream.sparkSession, f"{_shared(stream.sparkSession)}/journal-{uuid.uuid4().hex}"
+    job = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/rows")
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def counts(events: DataFrame, at: str, by: str, width: str, late: str = "1 hour") -> DataFrame:
     """Tumbling counts."""
     grouped = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by).count()

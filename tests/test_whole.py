@@ -161,3 +161,13 @@ def test_chunk_packing(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=(docs, "doc_id long, source string, text string"))
     got = catalogue.QUERIES["chunk_packing"](spark, sf).collect()
     assert {(g.source, g.chunk): (g["first"], g["last"], g["bytes"]) for g in got} == greedy([(s, i, t) for i, s, t in docs], 20480)
+
+
+def test_stream_events_late(spark, tmp_path):
+    """One file a batch: events of 100 days before those already read, and some sent again."""
+    for days in (100, 101, 0, 100):
+        rows = spark.range(5).selectExpr(f"id + {days} as event_id", f"timestamp'2024-01-01' + make_dt_interval({days}) as ts", "'click' as event_type")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = [r.event_id for r in catalogue.QUERIES["stream_events"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [*range(5), *range(100, 106)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("journal")]  # nothing is held by the driver
