@@ -1,4 +1,4 @@
-"""Claims: grounding, dedupe, choice, diff, facts (FLT-14, SET-5, AGG-7 to AGG-10, JN-8 to JN-13)."""
+"""Claims: grounding, dedupe, choice, diff, facts (FLT-14, SET-5, AGG-7 to AGG-10, JN-8, JN-10 to JN-13)."""
 
 from __future__ import annotations
 
@@ -156,3 +156,20 @@ def section_ends(titles: DataFrame, doc: str, start: str, position: str, last_pa
     """A section ends a page before the next title, at its own start at least; the last one with the document."""
     following = F.lead(start).over(Window.partitionBy(doc).orderBy(start, position))
     return titles.withColumn("end", F.greatest(F.col(start), F.coalesce(following - 1, F.col(last_page))))
+
+
+def section_starts(titles: DataFrame, pages: DataFrame, doc: str, order: str, title: str, page: str, lines: str, after: int = 0) -> DataFrame:
+    """doc, order, title, start of the contents titles found (JN-12): each at the first page not before the last one
+    found whose ``lines`` (an array) hold it. A title that isn't found moves nothing. A fold over a document's titles."""
+    lines_of = pages.where(F.col(page) > after).select(doc, F.col(page).cast("bigint").alias("_page"), F.explode(F.array_distinct(lines)).alias(title))
+    at = titles.select(doc, order, title).join(lines_of, [doc, title]).groupBy(doc, order, title).agg(F.array_sort(F.collect_set("_page")).alias("at"))
+    listed = at.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, title, "at"))).alias("t"))
+    found = f"array<struct<{order}:{titles.schema[order].dataType.simpleString()},{title}:string,start:bigint>>"
+    start = F.struct(F.lit(after + 1).cast("bigint").alias("cursor"), F.array().cast(found).alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        first = F.get(F.filter(t["at"], lambda p: p >= s["cursor"]), F.lit(0))
+        item = F.struct(t[order].alias(order), t[title].alias(title), first.alias("start"))
+        return F.struct(F.coalesce(first, s["cursor"]).alias("cursor"), F.when(first.isNotNull(), F.array_append(s["out"], item)).otherwise(s["out"]).alias("out"))
+
+    return listed.select(doc, F.inline(F.aggregate("t", start, step, lambda s: s["out"])))

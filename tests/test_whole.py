@@ -171,3 +171,20 @@ def test_stream_events_late(spark, tmp_path):
     got = [r.event_id for r in catalogue.QUERIES["stream_events"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [*range(5), *range(100, 106)]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("journal")]  # nothing is held by the driver
+
+
+def test_section_starts(spark):
+    r = random.Random(5)
+    pages = [(d, p, r.sample("ABCDEFG", r.randrange(4))) for d in "xy" for p in range(1, 30)]
+    titles = [(d, i, t) for d in "xyz" for i, t in enumerate("CAQBFDE")]  # Q on no page, z without pages
+    want = set()
+    for d in "xyz":
+        cursor = 4
+        for _, i, t in (x for x in titles if x[0] == d):
+            first = next((p for e, p, lines in pages if e == d and p >= cursor and t in lines), None)
+            if first is not None:
+                want.add((d, i, t, first))
+                cursor = first
+    frames = spark.createDataFrame(titles, "doc string, i int, title string"), spark.createDataFrame(pages, "doc string, page int, lines array<string>")
+    got = claims.section_starts(*frames, "doc", "i", "title", "page", "lines", after=3).collect()
+    assert {(g.doc, g.i, g.title, g.start) for g in got} == want and len(got) == len(want) > 8
