@@ -12,7 +12,7 @@ from proofmill.llm.words import word_hashes
 
 WORDS, GRAMS = 1 << 13, 1 << 14
 E, H, A = 8, 8, 8
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
