@@ -18,7 +18,7 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local master may do without it."""
+    """The folder of this application below ``spark.checkpoint.dir``; it goes when the driver ends. Only a local master may do without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -31,12 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder}/proofmill-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again: what follows no longer depends on executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that all successors of are stored, so that disk holds what is still needed alone."""
+    for table in tables:
+        files, at = _files(table.sparkSession, table.stored_at)
+        files.delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

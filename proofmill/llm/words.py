@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed together.
 BLOCK = 400_000
+#: Bytes of a word that is hashed with the others.
+LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTES, _WORDS = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
@@ -44,7 +47,8 @@ def blocks(raws: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of all words of the texts, in order: 64-bit hashes, and the number of the text."""
+    """Of all words of the texts, in order: 64-bit hashes, and the number of the text. Words of more than LONG bytes,
+    of which some can be built to collide in any polynomial, are hashed one by one."""
     joined = b" ".join([*raws, b""])
     chars = np.frombuffer(joined, np.uint8)
     space = _SPACE[chars]
@@ -54,6 +58,8 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers(_BYTES, len(chars)), out=total[1:])
     inverse = powers(pow(_BYTES, -1, 1 << 64), len(chars))
     hashes = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
     limits = np.cumsum([len(r) + 1 for r in raws])
     return hashes, np.searchsorted(limits, starts, side="right")
 
