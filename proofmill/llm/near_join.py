@@ -1,19 +1,24 @@
 """Similarity join of texts on the Jaccard index of their word shingles, with parity sketches.
 
 A shingle's hash picks one bit of a document's sketch and flips it, so the sketches of two sets differ in at most as
-many bits as their symmetric difference has members. Two sets of at most H shingles with index t or more differ in at
-most D = 2H (1 - t) / (1 + t) of them: of B blocks of the sketch at least B - D are the same in both (pigeonhole), so of
-the D + 1 blocks that come first in any order that depends on a block's place and bits alone, the two sets share one.
-B is SPARE times D + 1 (and one more). Blocks are counted over all documents, and the order puts the frequent ones last:
+many bits as their symmetric difference has members. Two sets of n and m shingles with index t or more differ in at
+most D = (n + m) (1 - t) / (1 + t) of them: of B blocks of the sketch at least B - D are the same in both (pigeonhole),
+so of the D + 1 blocks that come first in any order that depends on a block's place and bits alone, the two sets share
+one. D is reckoned for each document from the largest partner that its band allows; B is SPARE times the band's largest
+D + 1 (and one more). Blocks are counted over all documents, and the order puts the frequent ones last:
 a block that holds shingles of a common passage alone is joined on by no document that has enough others. Blocks without
 a bit come after all others, so that a document names one only if it must.
 Documents are put in bands of sizes; a document near a band's end takes part in the next one, so that any two that may
 link share a band. A block is WIDTH bits; its bits are joined on by a 64-bit key.
 
 Sets that are equal link without sketches; one document stands for them. In each bucket of equal blocks the documents
-are linked with the least one, and, as far as that leaves them in different components, with each other. Such pairs are
-dropped in the join itself if sizes, or the sketches folded to COARSE bits, rule a link out. What is left must differ, in
-sketches of about two bits a shingle, in no more bits than its sizes allow, then its texts are compared exactly.
+are linked with the least one, and, as far as that leaves them in different components, with each other. Documents of a
+bucket with more than CROWD that are still apart (their blocks lie in a passage that many share) don't meet there: they
+get sketches of WIDE times as many blocks, counted among themselves, whose rare blocks lie outside the passage. Pairs
+are dropped in the join itself if sizes, or the sketches folded to COARSE bits, rule a link out. What is left must
+differ, in sketches of about two bits a shingle, in no more bits than its sizes allow, then its texts are compared
+exactly. Blocks are counted and joined in SLICES of their keys, one after another, and each table is deleted once its
+successor is stored, so that disk holds a part of the blocks at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.components import components
-from proofmill.llm.store import documents, written
+from proofmill.llm.store import discard, documents, written
 from proofmill.llm.words import blocks, mixed, raw_texts, window_hashes, word_hashes
 
 WIDTH = 256
@@ -35,6 +40,10 @@ WIDTH = 256
 BAND = 1.5
 #: Blocks of a sketch for each block that is joined on.
 SPARE = 1.25
+#: Still separate documents of a bucket that meet in pairs, at most; blocks of a sketch for those of a larger bucket.
+CROWD, WIDE = 64, 8.0
+#: Parts of the keys that are counted and joined one after another.
+SLICES = 4
 #: Bits of the sketches that are compared in the join of pairs, by words of 64.
 COARSE = 512
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
@@ -63,17 +72,22 @@ def bands(n: int, percent: int) -> list[int]:
     return [*range(band_of(n), band_of(n * 100 // percent) + 1)]
 
 
-def prefix_of(band: int, percent: int) -> int:
-    """Of that many blocks of a band's set, one is shared with each set it may link: one more than they may differ by."""
-    most = ceil(BAND ** (band + 1) + 1e-6)
-    return 2 * most * (100 - percent) // (100 + percent) + 1
+def most_of(band: int) -> int:
+    """The most shingles of a set in a band."""
+    return ceil(BAND ** (band + 1) + 1e-6)
 
 
-def sketch(found: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+def prefix_of(n: int, band: int, percent: int) -> int:
+    """Of that many blocks of a set of n shingles one is shared with each set of the band that it may link: one more than
+    they may differ by."""
+    return (n + min(most_of(band), n * 100 // percent)) * (100 - percent) // (100 + percent) + 1
+
+
+def sketch(found: np.ndarray, band: int, percent: int, spare: float = SPARE) -> tuple[np.ndarray, int]:
     """Keys of the blocks of a set's sketch, each the exclusive or of a number for every bit that is set, and how many of
     the most frequent ones needn't be joined on. Blocks without a bit are left out as far as the others are enough."""
-    first = prefix_of(band, percent)
-    m = ceil(SPARE * first) + 1
+    first = prefix_of(len(found), band, percent)
+    m = ceil(spare * prefix_of(most_of(band), band, percent)) + 1
     block = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     places, flips = np.unique(block * np.uint64(WIDTH) + (found & np.uint64(WIDTH - 1)), return_counts=True)
     places = places[flips % 2 == 1]
@@ -85,7 +99,7 @@ def sketch(found: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]
         keys[block[starts]] ^= np.bitwise_xor.reduceat(mixed(places + np.uint64(1) + (np.uint64(band) << np.uint64(48))), starts)
         filled[block[starts]] = True
     named = np.concatenate([keys[filled], np.sort(keys[~filled])[: max(first - int(filled.sum()), 0)]])
-    return named, len(named) - first
+    return named, max(len(named) - first, 0)
 
 
 def parity(found: np.ndarray, width: int) -> np.ndarray:
@@ -144,7 +158,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
 _ENTRIES = "key long, id long, band short, spare int"
 
 
-def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _entries(docs: DataFrame, k: int, percent: int, wide: float) -> DataFrame:
     """The blocks that each text may be joined on, in all of its bands; spare of them needn't be, the most frequent ones."""
 
     def made(parts: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
@@ -157,8 +171,8 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
             parts, size = [], 0
             for key, found in _sets(batch, k):
                 for band in bands(len(found), percent) if len(found) else []:
-                    if prefix_of(band, percent) > 1:  # else only equal sets link
-                        keys, spare = sketch(found, band, percent)
+                    if prefix_of(len(found), band, percent) > 1:  # else only equal sets link
+                        keys, spare = sketch(found, band, percent, wide)
                         parts.append((keys, key, band, spare))
                         size += len(keys)
                 if size > 200_000:
@@ -170,6 +184,25 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, _ENTRIES)
 
 
+def _buckets(docs: DataFrame, k: int, percent: int, wide: float) -> DataFrame:
+    """key, id: of each text's blocks those that it is joined on and that some other text has, too."""
+    entries = written(_entries(docs, k, percent, wide), "entries")
+    parts = []
+    for i in range(SLICES):
+        part = entries.where(F.pmod(F.col("key"), F.lit(SLICES)) == i)
+        often = written(part.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "often")
+        parts.append(written(part.join(often, "key"), "met"))
+        discard(often)
+    discard(entries)
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    order = Window.partitionBy("id", "band").orderBy(F.desc("met"), "key")
+    joined = written(met.withColumn("place", F.row_number().over(order)).where("place > spare").select("key", "id"), "joined")
+    discard(*parts)
+    return joined
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link and whose texts have it."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
@@ -214,28 +247,38 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = sketches.where("n > 0").join(sets, ["n", "s1", "s2"]).select("id", "rep")
 
     own = written(sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").drop("s1", "s2"), "own")
-    entries = written(_entries(plain.join(own.select("id"), "id", "left_semi"), k, percent), "entries")
-    often = written(entries.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "often")
-    order = Window.partitionBy("id", "band").orderBy(F.desc("met"), "key")
-    joined = entries.join(often, "key").withColumn("place", F.row_number().over(order)).where("place > spare").select("key", "id")
-    joined = written(joined, "joined")
+    joined = _buckets(plain.join(own.select("id"), "id", "left_semi"), k, percent, SPARE)
     hubs = written(joined.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "hubs")
     shared = written(joined.join(hubs, "key").select("key", "hub", "id"), "shared")
+    discard(joined, hubs)
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(stars, own, plain, k, percent), "links")
 
     # Members of a bucket that are still apart from each other, and weren't compared with the hub, meet in pairs.
     part = components(links)
-    parted = shared.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
-    torn = written(parted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "torn")
-    open_ = written(parted.join(torn, "key").where("id <> hub").join(own.drop("bits"), "id"), "open")
+    apart_ = lambda t: t.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parted = written(apart_(shared).select("key", "hub", "id", "component"), "parted")
+    discard(shared)
+    torn = parted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    torn = written(torn.select("key", (F.col("size") > CROWD).alias("crowd")), "torn")
+    open_ = written(parted.join(torn, "key").where("id <> hub").select("key", "id", "component", "crowd"), "open")
+    discard(parted, torn)
+    crowd = written(open_.where("crowd").select("id").distinct(), "crowd")
+    meet = open_.where("not crowd").select("key", "id", "component")
+    if crowd.limit(1).count():
+        again = _buckets(plain.join(crowd, "id", "left_semi"), k, percent, WIDE)
+        meet = meet.unionByName(apart_(again).select("key", "id", "component"))
+    met = written(meet.join(own.drop("bits"), "id"), "meet")
+    discard(open_)
     differ = " + ".join(f"bit_count(p.{w} ^ q.{w})" for w in _COARSE)
     fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and ({differ}) * {100 + percent} <= (p.n + q.n) * {100 - percent}"
-    pairs = open_.alias("p").join(open_.alias("q"), F.expr(f"p.key = q.key and p.component < q.component and {fits}"))
+    pairs = met.alias("p").join(met.alias("q"), F.expr(f"p.key = q.key and p.component < q.component and {fits}"))
     pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     more = written(_verified(pairs, own, plain, k, percent), "more-links")
+    discard(met, own)
 
     found = components(links.unionByName(more))
+    discard(links, more, part)
     placed = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     sized = sketches.select("id", F.col("n").alias("n_shingles"), "s1", "s2")
     reached = placed.groupBy("id").agg(F.min("component_id").alias("component_id"))
