@@ -1,11 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations alone.
 
 A source's target over its size is the number of copies that each of its documents should have. Its whole part is
-taken; the fractional parts are rounded by duels: two documents meet, mass moves between them at random (with the
-right chances, so that each keeps its expected copies) until one of the two is integral, and the other meets the next.
-Documents duel in bounded blocks of one source and like sizes, in order of size, so little is lost or won in words.
-What is left of each block, one fractional document, goes up a reduction tree of blocks until one is left per source.
-Chances come from hashes of the documents' ids, so reruns agree.
+taken; the fractional parts are rounded by duels: two documents meet, and words move from one's probability to the
+other's, in a direction drawn at random (with the chances that keep each one's expected copies), until one of the two is
+integral; the other meets the next. What one loses in words the other wins, so a duel doesn't change the source's sum.
+Documents duel in bounded blocks of one source, dealt by hash, the largest first, so that what is left of a block, one
+fractional document at most, is a small one as a rule. It goes up a reduction tree of blocks until a source has one left,
+which chance rounds. Where that one is large, the words that its rounding wins or loses are settled with small documents
+of its source, which change by one copy. Chances come from hashes of the documents'
+ids and texts, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from proofmill.llm.store import documents, small, word_count, written
 #: Documents in a block; a block's fold is one row of one task.
 BLOCK = 256
 MOST_COPIES = 3
-_ITEM = "struct<size:long,u:long,doc_id:long,whole:long,p:double>"
-_DONE = "array<struct<size:long,doc_id:long,copies:long>>"
+_ITEM = "struct<size:long,u:long,row:long,whole:long,p:double>"
+_DONE = "array<struct<size:long,u:long,row:long,copies:long>>"
 _EPS = 1e-9
 
 
@@ -54,75 +57,110 @@ def _chance(*keys: Column) -> Column:
 
 
 def _duel(state: Column, x: Column, seed: int) -> Column:
-    """The held document meets x: one of them is decided, the other is held."""
+    """The held document meets x: one of them at least is decided, the other is held."""
     held = state["held"]
-    s = held["p"] + x["p"]
-    u = _chance(F.lit(seed), held["doc_id"], x["doc_id"], held["u"])
-    stays = F.when(s < 1, u * s < held["p"]).otherwise(u * (2 - s) >= 1 - x["p"])  # the held one stays fractional
-    rest = F.when(s < 1, s).otherwise(s - 1)
-    out, on = F.when(stays, x).otherwise(held), F.when(stays, held).otherwise(x)
-    done = F.struct(out["size"].alias("size"), out["doc_id"].alias("doc_id"), (out["whole"] + F.when(s < 1, 0).otherwise(1)).cast("long").alias("copies"))
-    now = F.struct(on["size"].alias("size"), on["u"].alias("u"), on["doc_id"].alias("doc_id"), on["whole"].alias("whole"), rest.alias("p"))
+    mass = lambda d, p: d["size"] * p
+    up = F.least(mass(held, 1 - held["p"]), mass(x, x["p"]))  # words that the held one can win
+    down = F.least(mass(held, held["p"]), mass(x, 1 - x["p"]))  # and lose
+    words = F.when(_chance(F.lit(seed), held["u"], x["u"]) * (up + down) < down, up).otherwise(-down)
+    after = lambda d, moved: F.struct(d["size"].alias("size"), d["u"].alias("u"), d["row"].alias("row"), d["whole"].alias("whole"), (d["p"] + moved / d["size"]).alias("p"))
+    decided = lambda d: (d["p"] < _EPS) | (d["p"] > 1 - _EPS)
+    out = lambda d: F.struct(d["size"].alias("size"), d["u"].alias("u"), d["row"].alias("row"), (d["whole"] + F.round(d["p"])).cast("long").alias("copies"))
+    both = F.array(after(held, words), after(x, -words))
+    done = F.concat(state["done"], F.transform(F.filter(both, decided), out))
+    rest = F.get(F.filter(both, lambda d: ~decided(d)), F.lit(0))
     first = F.struct(state["done"].alias("done"), x.alias("held"))
-    return F.when(held.isNull(), first).otherwise(F.struct(F.array_append(state["done"], done).alias("done"), now.alias("held")))
+    return F.when(held.isNull(), first).otherwise(F.struct(done.alias("done"), rest.alias("held")))
 
 
 def _round(items: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Folds each group's items: source, done, held."""
-    start = F.struct(F.lit(None).cast(_DONE).alias("done"), F.lit(None).cast(_ITEM).alias("held"))
-    start = F.struct(F.array().cast(_DONE).alias("done"), start["held"].alias("held"))
-    blocks = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("item").cast(_ITEM))).alias("items"))
+    """Folds each group's items, the largest first: source, done, held."""
+    start = F.struct(F.array().cast(_DONE).alias("done"), F.lit(None).cast(_ITEM).alias("held"))
+    blocks = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("item").cast(_ITEM)), asc=False).alias("items"))
     folded = blocks.select("source", F.aggregate("items", start, lambda s, x: _duel(s, x, seed)).alias("s"))
     return folded.select("source", "s.done", "s.held")
 
 
-def mix(docs: DataFrame, seed: int = 17, most: int = MOST_COPIES) -> DataFrame:
-    """Copies of each document of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies.
+def _dealt(items: DataFrame, seed: int) -> DataFrame:
+    """``items`` (source, item) with a block of about BLOCK of one source."""
+    counts = written(items.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks").alias("b")
+    block = F.pmod(F.xxhash64(F.lit(seed), "item.u", "item.row"), "blocks").alias("block")
+    return items.alias("a").join(small(counts), F.expr("a.source <=> b.source")).select("a.source", block, "item")
 
-    Size: words of the text. A document without words has no copies to its name (0). Null sources are one source, null
-    ids are hashed as such. Repeated rows are documents of their own. An empty table gives no rows. Other columns are
-    ignored.
-    """
-    sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+
+def _copies(sized: DataFrame, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """row, source, size, copies of the documents of ``sized`` (row, u, source, size; stored), and the sources' targets."""
     goals = written(targets(sized, most), "targets")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = goals.select("source", F.floor(factor + _EPS).cast("long").alias("whole"), F.greatest(factor - F.floor(factor + _EPS), F.lit(0.0)).alias("p"))
+    worded = sized.where("size > 0").alias("a")
+    placed = worded.join(small(shares).alias("b"), F.expr("a.source <=> b.source")).select("a.source", "size", "u", "row", "whole", "p")
+    columns = ["source", "size", "u", "row", "copies"]
+    whole = placed.where(F.col("p") < _EPS).withColumn("copies", F.col("whole")).select(*columns)
+    items = placed.where(F.col("p") >= _EPS).select("source", F.struct("size", "u", "row", "whole", "p").alias("item"))
 
-    worded = sized.where("size > 0").withColumn("class", F.floor(2 * F.log2("size")).cast("int"))
-    counts = worded.groupBy("source", "class").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    plan = written(counts.alias("a").join(shares.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "class", "blocks", "whole", "p"), "blocks").alias("b")
-    placed = worded.alias("a").join(small(plan), F.expr("a.source <=> b.source and a.class = b.class")).select(
-        "a.source", "a.class", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks").alias("block"), "whole", "p", "size", F.xxhash64("doc_id", F.lit(seed)).alias("u"), "doc_id"
-    )
-    whole = placed.where(F.col("p") < _EPS).select("source", "size", "doc_id", F.col("whole").alias("copies"))
-    items = placed.where(F.col("p") >= _EPS).withColumn("item", F.struct("size", "u", "doc_id", "whole", "p"))
-
-    parts = [whole]
-    level = written(_round(items, ["source", "class", "block"], seed), "round-0")
+    parts = [whole, sized.where("size = 0").withColumn("copies", F.lit(0).cast("long")).select(*columns)]
+
+    left = items
     while True:
-        parts.append(level.select("source", F.explode("done").alias("d")).select("source", "d.size", "d.doc_id", "d.copies"))
-        held = level.where("held is not null").select("source", F.col("held").alias("item"))
-        counts = written(held.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("n")), "held")
-        if (counts.agg(F.max("n")).first()[0] or 0) <= 1:
-            break
-        again = held.alias("a").join(small(counts.alias("b")), F.expr("a.source <=> b.source"))
+        level = written(_round(_dealt(left, seed), ["source", "block"], seed), "round")
+        parts.append(level.select("source", F.explode("done").alias("d")).select("source", "d.size", "d.u", "d.row", "d.copies"))
+        left = level.where("held is not null").select("source", F.col("held").alias("item"))
         seed += 1
-        block = F.pmod(F.xxhash64(F.lit(seed), "item.doc_id"), "blocks").alias("block")
-        level = written(_round(again.select("a.source", block, "item"), ["source", "block"], seed), "round")
-    last = F.col("item.whole") + F.when(_chance(F.lit(seed), F.col("item.doc_id"), F.col("item.u")) < F.col("item.p"), 1).otherwise(0)
-    parts.append(held.select("source", "item.size", "item.doc_id", last.cast("long").alias("copies")))
-    parts.append(sized.where("size = 0").select("source", "size", "doc_id", F.lit(0).cast("long").alias("copies")))
+        if not left.groupBy("source").count().where("count > 1").limit(1).count():
+            break
+    last = F.col("item.whole") + F.when(_chance(F.lit(seed), F.col("item.u")) < F.col("item.p"), 1).otherwise(0)
+    parts.append(left.select("source", "item.size", "item.u", "item.row", last.cast("long").alias("copies")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.alias("a").join(small(goals).alias("b"), F.expr("a.source <=> b.source")).select("doc_id", "size", "source_size", "target", "copies")
+    return _settled(written(rows, "rounded"), goals, shares), goals
+
 
+def _settled(rows: DataFrame, goals: DataFrame, shares: DataFrame) -> DataFrame:
+    """``rows`` with the words that a source has too many or too few settled with documents that are no larger, the
+    smallest first. Of a source documents of about three times these words are looked at, chosen by hash, so their number
+    doesn't grow with the source."""
+    same = F.expr("a.source <=> b.source")
+    taken = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    gap = goals.alias("a").join(taken.alias("b"), same).join(shares.alias("c"), F.expr("a.source <=> c.source")).where(F.col("p") >= _EPS)
+    gaps = written(gap.select("a.source", (F.col("target") - F.col("taken")).alias("gap"), "whole"), "gaps")
+    from_ = F.col("whole") + F.when(F.col("gap") < 0, 1).otherwise(0)
+    open_ = rows.alias("a").join(small(gaps).alias("b"), same).where((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("copies") == from_)).select("a.*", "gap")
+    room = written(open_.groupBy("source").agg(F.sum("size").alias("room")), "room")
+    some = open_.alias("a").join(small(room).alias("b"), same).where(_chance(F.lit(-1), F.col("u")) * F.col("room") <= 3 * F.abs("gap")).select("a.*")
+    upto = Window.partitionBy("source").orderBy("size", "u", "row").rowsBetween(Window.unboundedPreceding, 0)
+    moved = some.withColumn("sum", F.sum("size").over(upto)).where(F.col("sum") <= F.abs("gap")).select("row", F.signum("gap").cast("long").alias("more"))
+    both = rows.join(written(moved, "moved"), "row", "left")
+    return both.select("source", "size", "row", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
 
-def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows that share an id share their copies evenly (rounded)."""
-    copies = mix(docs, seed).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    taken = docs.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id")).select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def _numbered(docs: DataFrame, *keep: Column) -> DataFrame:
+    """Rows with a number, stored, so that it stays; u: a hash that a document has wherever its row stands."""
+    u = F.xxhash64("doc_id", "text", "source").alias("u")
+    return written(docs.select(*keep, u, word_count(F.col("text").cast("string")).alias("size")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def mix(docs: DataFrame, seed: int = 17, most: int = MOST_COPIES) -> DataFrame:
+    """Copies of each document of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies.
+
+    Size: words of the text. A document without words has no copies to its name (0). Null sources are one source.
+    Repeated rows, and rows that share an id or have none, are documents of their own. An empty table gives no rows.
+    Other columns are ignored.
+    """
+    sized = _numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    rows, goals = _copies(sized, seed, most)
+    known = rows.alias("a").join(small(goals).alias("b"), F.expr("a.source <=> b.source")).select("row", "size", "source_size", "target", "copies")
+    return known.join(sized.select("row", "doc_id"), "row").select("doc_id", "size", "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, seed: int = 17, most: int = MOST_COPIES) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows as in ``mix``."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    numbered = _numbered(docs, own, F.col("source").cast("string").alias("source"))
+    rows, _ = _copies(numbered.select("row", "u", "source", "size"), seed, most)
+    taken = rows.where("copies > 0").select("row", F.col("copies").cast("int").alias("copies")).join(numbered.select("row", "doc"), "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
