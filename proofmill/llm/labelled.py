@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Texts that models are fitted on are at most so long (scoring takes whole texts of any length).
-MOST_CHARS = 20_000
+#: Characters of all texts of a sample together, at most.
+SAMPLE_CHARS = 40_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, value: Column, rows: dict[int, int], seed: int = 3) -> DataFrame:
-    """doc_id, text, y of at most ``rows[y]`` labelled documents for each y, chosen by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, value: Column, rows: dict[int, int], chars: int = SAMPLE_CHARS, seed: int = 3) -> DataFrame:
+    """doc_id, text, y of at most ``rows[y]`` labelled documents for each y, chosen by a hash of the id, whatever their
+    length; of each y as many of them, in that order, as have ``chars`` characters over the number of y's together.
 
     ``value`` gives y from a label's columns (null: left out). Of an id with several labels the largest y counts; of an
-    id with several rows in ``docs`` all rows are taken.
+    id with several rows in ``docs`` all rows are candidates. Null texts are left out. Scoring takes whole texts of all rows.
     """
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(value).alias("y")).where("y is not null")
     chosen = None
     for y, n in rows.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") <= MOST_CHARS)
-    return texts.join(F.broadcast(chosen), "doc_id")  # bounded by the sum of ``rows``
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id")  # bounded by the sum of ``rows``
+    hash_ = F.xxhash64(F.lit(seed), "doc_id")
+    sized = found.select("doc_id", "y", F.xxhash64("text").alias("txt"), F.length("text").cast("long").alias("n"))
+    upto = Window.partitionBy("y").orderBy(hash_, "doc_id", "txt").rowsBetween(Window.unboundedPreceding, 0)
+    fit = sized.withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") <= chars // max(len(rows), 1)).select("doc_id", "txt").distinct()
+    return found.withColumn("txt", F.xxhash64("text")).join(F.broadcast(fit), ["doc_id", "txt"], "left_semi").drop("txt")

@@ -13,6 +13,8 @@ from proofmill.llm.words import word_hashes
 WORDS, GRAMS = 1 << 13, 1 << 14
 E, H, A = 8, 8, 8
 WINDOW, STRIDE = 32, 16
+#: Windows that are run through the gates together.
+TOGETHER = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,7 +151,10 @@ class Network:
         out = np.full(len(raws), -np.inf, np.float32)
         if len(w.index):
             start, length, doc = w.windows(len(raws))
-            np.maximum.at(out, doc, self.forward(self.gates(self.inputs(w)), w.index, start, length))
+            gates = self.gates(self.inputs(w))
+            for a in range(0, len(start), TOGETHER):  # memory doesn't grow with a text's windows
+                b = a + TOGETHER
+                np.maximum.at(out, doc[a:b], self.forward(gates, w.index, start[a:b], length[a:b]))
         return out
 
     def scores(self, raws: list[bytes]) -> np.ndarray:
