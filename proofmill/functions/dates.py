@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names.
+# Month names and patterns of dates.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH = rf"({'|'.join(MONTHS)})[a-z]*\.?"
 ISO = r"\b(\d{4})-(\d{2})-(\d{2})\b"

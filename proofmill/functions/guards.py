@@ -41,7 +41,7 @@ BANNED = [
 BANNED_PATTERN = rf"(?i)\b(?:{'|'.join(t.replace(' ', r'[\s-]+') for t in BANNED)})\b"
 ADVERSE = r"(?i)\b(sebi|probe|investigat\w*|complaint|halt\w*|defer\w*|barred|ban(?:s|ned)?|penalt\w*|diver\w+|misuse|refund|show[- ]cause|raid\w*|arrest\w*)\b"
 PROMO = r"(?i)\b(gmp|apply|ipo review|should you|subscribe|allotment|listing)\b"
-BEARER, API_KEY = r"(?i)bearer\s+\S+", r"api_key=[^&\s]+"
+BEARER, API_KEY = r"(?i)bearer\s+\S+", r"(?i)([?&]api_key=)[^&\s\"'#]+"
 STOP = [
     "the", "and", "for", "this", "that", "with", "what", "does", "did", "was", "are", "is", "its", "it's", "about", "there",
     "any", "how", "who", "which", "from", "have", "has", "ipo", "company", "card", "line", "lines", "tell", "show", "me", "please",
@@ -109,7 +109,7 @@ def banned_terms(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Keys in URLs and bearer tokens."""
-    return F.regexp_replace(F.regexp_replace(text, API_KEY, "api_key=[redacted]"), BEARER, "[redacted]")
+    return F.regexp_replace(F.regexp_replace(text, API_KEY, "$1[redacted]"), BEARER, "[redacted]")
 
 
 def words(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Claims: grounding, dedupe, choice, diff, facts (FLT-14, SET-5, AGG-7 to AGG-10, JN-8, JN-10 to JN-13)."""
+"""Claims: grounding, dedupe, choice, diff, facts (FLT-13, FLT-14, SET-5, AGG-7 to AGG-10, AGG-17, JN-8, JN-10, JN-12 to JN-14, STR-14, STR-15, STR-29)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from proofmill.functions import money, names
+from proofmill.functions.names import norm
+
+# The pattern of rows of an expenses table.
+EXPENSE_ROW = (
+    r"(?i)\b(fees?|expenses?|commission|charges|payable|brokerage|total|stamp duty|printing|advertis\w*|"
+    r"miscellaneous|contingenc\w*|registrar|underwriting)\b"
+)
+
 
 def first_by(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -25,6 +34,71 @@ def grounded(claims: DataFrame, pages: DataFrame, on: list[str], values: Column,
     return held.where((F.size(values) > 0) & F.forall(values, lambda v: F.contains(F.coalesce(text, F.lit("")), v)))
 
 
+def is_generic(name: Column, vendor: Column, roles: list[str]) -> Column:
+    """A role in place of a name, or a row of an expenses table (FLT-13)."""
+    return F.coalesce(norm(name).isin(*roles), F.lit(False)) | F.coalesce(vendor.rlike(EXPENSE_ROW), F.lit(False))
+
+
+def grounded_rows(claims: DataFrame, pages: DataFrame, on: list[str], values: list[str], text: str) -> DataFrame:
+    """Claims all of whose values that aren't blank stand on the page they cite, compared as ``norm`` has them (FLT-14, JN-10)."""
+    stated = F.transform(F.filter(F.array(*values), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""), lambda v: F.lower(v))
+    held = claims.join(pages.select(*on, norm(F.col(text)).alias("_page")), on, "left").withColumn("_values", F.transform(stated, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))))
+    return held.where((F.size("_values") > 0) & F.forall("_values", lambda v: F.contains(F.coalesce("_page", F.lit("")), v))).drop("_page", "_values")
+
+
+def page_span(text: Column, value: Column, before: int = 60, chars: int = 300) -> Column:
+    """What is shown of a page: ``chars`` from ``before`` ahead of the value, or from the page's start (STR-14)."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    at = F.position(F.lower(F.trim(F.regexp_replace(value, r"\s+", " "))), F.lower(flat))
+    return F.substring(flat, F.greatest(at - before, F.lit(1)), F.lit(chars))
+
+
+def halves(text: Column, marker: str = r"\[\[page \d+\]\]") -> Column:
+    """A text cut near its middle, at a line break, else a space; the second half repeats the last page marker. Empty if a
+    half would be blank (STR-15)."""
+    middle = F.floor(F.length(text) / 2).cast("int")
+    low = F.floor(middle / 2).cast("int")
+    part = F.substring(text, low + 1, middle + 1 - low)  # characters low to middle, from 0
+    last = lambda c: F.when(F.contains(part, F.lit(c)), low + F.length(part) - F.position(F.lit(c), F.reverse(part)))
+    fine = lambda at: F.when(at > 0, at)
+    cut = F.coalesce(fine(last("\n")), fine(last(" ")), middle)
+    head, tail = F.left(text, cut), F.regexp_replace(F.substring(text, cut + 1, F.length(text)), r"^\n+", "")
+    marks = F.regexp_extract_all(head, F.lit(marker), F.lit(0))
+    carried = F.when((F.size(marks) > 0) & ~tail.startswith("[[page"), F.concat(F.element_at(marks, -1), F.lit("\n"), tail)).otherwise(tail)
+    blank = (F.trim(head) == "") | (F.trim(F.regexp_replace(tail, r"\s+", " ")) == "")
+    return F.when(blank, F.array().cast("array<string>")).otherwise(F.array(head, carried))
+
+
+def first_claims(claims: DataFrame, kind: str, values: list[str], order: list[str]) -> DataFrame:
+    """The first of the claims of a kind whose values are equal once normalized (SET-5)."""
+    keys = claims.withColumns({f"_k{i}": norm(F.coalesce(F.col(v), F.lit(""))) for i, v in enumerate(values)})
+    return first_by(keys, [kind, *(f"_k{i}" for i in range(len(values)))], *map(F.col, order)).drop(*(f"_k{i}" for i in range(len(values))))
+
+
+def claim_key(kind: Column, c: dict[str, Column]) -> Column:
+    """What makes two versions' claims the same one, by their kind (STR-29)."""
+    company = names.normalize_company
+    case = F.coalesce(F.nullif(F.regexp_replace(F.lower(c["case_ref"]), "[^a-z0-9]+", ""), F.lit("")), F.concat(company(c["party"]), F.lit("|"), F.lower(c["forum"])))
+    place = F.concat_ws("|", c["role"], F.lower(c["city"]), F.lower(c["locality"]))
+    return F.when(kind == "quote", company(c["vendor"])).when(kind == "case", case).when(kind == "place", place).otherwise(company(c["name"]))
+
+
+def claim_diff(old: DataFrame, new: DataFrame, amount: str) -> DataFrame:
+    """key, kind (added, removed, changed) and text of what differs between two versions (JN-13). ``old`` and ``new``: key,
+    ord, vendor and an amount in paise; of equal keys the last claim counts."""
+    last = lambda d, c: d.groupBy("key").agg(F.max_by(F.struct("vendor", F.col(amount).alias("paise")), "ord").alias(c))
+    both = last(old, "o").join(last(new, "n"), "key", "full_outer")
+    kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.paise") != F.col("n.paise"), "changed")
+    told = F.format_string("vendor quotation from %s changed: %s earlier, %s later", F.col("n.vendor"), money.format_inr(F.col("o.paise"), True), money.format_inr(F.col("n.paise"), True))
+    plain = F.concat(F.coalesce("n.vendor", "o.vendor"), F.lit(" ("), money.format_inr(F.coalesce("n.paise", "o.paise")), F.lit(")"))
+    return both.withColumn("kind", kind).where("kind is not null").select("key", "kind", F.when(F.col("kind") == "changed", told).otherwise(plain).alias("text"))
+
+
+def tallies(tries: DataFrame, *by: str) -> DataFrame:
+    """Claims kept and dropped, failed calls and calls, by task (AGG-17). ``tries``: kept, dropped, failed (boolean)."""
+    return tries.groupBy(*by).agg(F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"), F.count_if("failed").alias("failed"), F.count("*").alias("calls"))
+
+
 def mode_latest(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, the greatest of equals."""
     counts = rows.groupBy(key, value).count()
@@ -51,7 +125,7 @@ def depth(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     up = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).join(known, "p", "left")
     at = up.select("n", F.when(F.col("ok"), F.col("p")).alias("p"), F.when(F.col("ok"), 1).otherwise(0).alias("d"))
     while True:
-        at = at.checkpoint()  # cuts the lineage of the rounds
+        at = at.checkpoint()  # cuts the lineage of the rounds; the session must have a checkpoint folder
         if not at.where("p is not null").limit(1).count():
             return at.select(F.col("n").alias(node), F.col("d").alias("depth"))
         q = at.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))

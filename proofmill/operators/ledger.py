@@ -1,4 +1,4 @@
-"""The search ledger (JN-1, AGG-1 to AGG-5, SNK-5, WIN-6 to WIN-8)."""
+"""The search ledger (JN-1, JN-2, AGG-1 to AGG-5, AGG-14, AGG-19, AGG-21, AGG-22, SNK-5, SRC-6, SRC-7, SRC-9, SRT-9, STR-24, WIN-6 to WIN-8)."""
 
 from __future__ import annotations
 
@@ -56,3 +56,37 @@ def recent(calls: DataFrame, by: str, at: str, seconds: int) -> DataFrame:
     """Requests of a client in the last seconds, the present one included."""
     window = Window.partitionBy(by).orderBy(_micros(F.col(at))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return calls.withColumn("recent", F.count("*").over(window))
+
+
+def recalled(requests: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Each request with the answer that is held for it, and whether there is one (JN-2, SRC-7)."""
+    return requests.join(held, key, "left").withColumn("miss", F.col("body_sha256").isNull())
+
+
+def with_bodies(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Rows with the body that their digest names, and whether it is missing or differs from it (SRC-6, AGG-21)."""
+    both = rows.join(blobs.select(F.col("sha256").alias("body_sha256"), "body"), "body_sha256", "left")
+    return both.withColumn("state", F.when(F.col("body").isNull(), "missing").when(F.sha2("body", 256) != F.col("body_sha256"), "differs").otherwise("fine"))
+
+
+def scan_id(pdf: Column, ruleset: Column) -> Column:
+    """The same for the same file and rules (STR-24)."""
+    return F.concat(F.lit("q"), F.left(F.sha2(F.to_json(F.struct(pdf.alias("pdf"), ruleset.alias("ruleset"))), 256), F.lit(11)))
+
+
+def best_key(keys: DataFrame, pool: str, reserve: int) -> DataFrame:
+    """Of each pool the key with the most searches left above the reserve (AGG-22), the first of equals."""
+    return keys.where(~F.col("exhausted") & (F.col("left") > reserve)).groupBy(pool).agg(F.max_by("key", F.struct("left", F.col("ord") * -1)).alias("key"))
+
+
+def timings(runs: DataFrame, *by: str) -> DataFrame:
+    """Least, median and greatest of each benchmark in readable units (AGG-19). ``runs``: seconds."""
+    told = lambda c: F.when(c < 1e-3, F.format_string("%.1f µs", c * 1e6)).when(c < 1, F.format_string("%.1f ms", c * 1e3)).otherwise(F.format_string("%.2f s", c))
+    stats = runs.groupBy(*by).agg(F.min("seconds").alias("least"), F.percentile("seconds", 0.5).alias("median"), F.max("seconds").alias("most"))
+    return stats.select(*by, *[told(F.col(c)).alias(c) for c in ("least", "median", "most")])
+
+
+def sample_runs(files: DataFrame, name: str, shards: int, shard: int) -> DataFrame:
+    """Every shards-th file in the order of their digests (SRT-9)."""
+    place = F.row_number().over(Window.orderBy(F.sha2(name, 256)))
+    return files.withColumn("place", place).where((F.col("place") - 1) % shards == shard)

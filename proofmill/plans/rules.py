@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofmill.functions.dates import calendar_months
 from proofmill.functions.money import ratio
@@ -43,13 +44,14 @@ def hits_status(n: Column) -> Column:
 
 
 def card(signals: DataFrame, doc: str, top: int = 3) -> DataFrame:
-    """Counts by status, the first inconsistent rules, and the number of lines. ``signals``: doc, ord, rule, status."""
-    line = F.struct("ord", "rule", "status")
-    lines = signals.groupBy(doc).agg(F.array_sort(F.collect_list(line)).alias("lines"), *[F.count_if(F.col("status") == s).alias(s) for s in (C, I, U)])
-    flagged = F.transform(F.slice(F.filter("lines", lambda x: x["status"] == I), 1, top), lambda x: x["rule"])
-    shown = F.size(F.filter("lines", lambda x: x["status"] != N))
-    headline = F.format_string("%d of %d check out · %d don't match · %d couldn't find", C, shown, I, U)
-    return lines.select(doc, C, I, U, shown.alias("n_lines"), F.array_join(flagged, ",").alias("top"), headline.alias("headline"))
+    """Counts by status, the first inconsistent rules, and the number of lines. ``signals``: doc, ord, rule, status. No
+    card's lines are collected: of the inconsistent ones the first ``top`` alone."""
+    counts = signals.groupBy(doc).agg(F.count_if(F.col("status") != N).alias("n_lines"), *[F.count_if(F.col("status") == s).alias(s) for s in (C, I, U)])
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("ord", "rule"))
+    first = signals.where(F.col("status") == I).select(doc, "rule", place.alias("place")).where(F.col("place") <= top)
+    flagged = first.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "rule"))), lambda x: x["rule"]), ",").alias("top"))
+    headline = F.format_string("%d of %d check out · %d don't match · %d couldn't find", C, "n_lines", I, U)
+    return counts.join(flagged, doc, "left").select(doc, C, I, U, F.col("n_lines").cast("int").alias("n_lines"), F.coalesce("top", F.lit("")).alias("top"), headline.alias("headline"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

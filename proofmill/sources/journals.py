@@ -1,10 +1,12 @@
-"""Sources and sinks (SRC-3, SRC-7 to SRC-9, SRC-12, SNK-1, SNK-3, SNK-8)."""
+"""Sources and sinks (SRC-3, SRC-8, SRC-9, SRC-12, SNK-1, SNK-3, SNK-4, SNK-8)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.functions.requests import public_id, scrub
+
 EVENT = "v INT, id STRING, parent STRING, scan STRING, t_ns BIGINT, type STRING, data STRING"
 MOST_CHARS = 4096
 
@@ -14,10 +16,32 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
 
 
-def write_events(events: DataFrame, path: str, fresh: bool = False) -> None:
-    """Appends events (or starts anew); those over 4096 characters are left out."""
-    small = events.where(F.length(F.to_json(F.struct(*events.columns))) <= MOST_CHARS)
-    small.write.mode("overwrite" if fresh else "append").json(path)
+def write_events(events: DataFrame, path: str, fresh: bool = False) -> int:
+    """Appends events (or starts anew); those over 4096 characters go beside it, to ``path``-rejected. Their number."""
+    fits = F.length(F.to_json(F.struct(*events.columns))) <= MOST_CHARS
+    mode = "overwrite" if fresh else "append"
+    events.where(fits).write.mode(mode).json(path)
+    rejected = events.where(~fits)
+    rejected.write.mode(mode).json(f"{path.rstrip('/')}-rejected")
+    return rejected.count()
+
+
+def export_events(events: DataFrame, path: str) -> None:
+    """Events as scrubbed lines; a line that scrubbing breaks is left out of the bundle (SNK-8)."""
+    lines = events.select(scrub(F.to_json(F.struct(*events.columns))).alias("value"))
+    lines.where("value is not null").write.mode("overwrite").text(path)
+
+
+def write_cards(cards: DataFrame, path: str, scan: str) -> None:
+    """A JSON file for each scan's cards, partitioned by the scan (SNK-4)."""
+    cards.repartition(scan).write.partitionBy(scan).mode("overwrite").json(path)
+
+
+def find_card(cards: DataFrame, recorded: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Saved cards by name, recorded ones first; a name that may not stand in a path finds nothing (SRC-9, FLT-18)."""
+    fine = wanted.where(public_id(F.col(name)))
+    both = fine.join(recorded.select(name, F.col("card").alias("_r")), name, "left").join(cards.select(name, F.col("card").alias("_c")), name, "left")
+    return both.select(name, F.coalesce("_r", "_c").alias("card")).where("card is not null")
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = 40 << 20) -> DataFrame:
@@ -32,5 +56,5 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_blobs(blobs: DataFrame) -> DataFrame:
-    """Bodies that differ from their hash (AGG-21)."""
+    """Bodies that differ from their digest."""
     return blobs.where(F.sha2("body", 256) != F.col("sha256"))

@@ -1,12 +1,15 @@
-"""The event journal as a stream (STM-1, STM-2, STM-5; windows are an extension)."""
+"""The event journal as a stream (STM-1 to STM-5, STM-7, SNK-2; windows are an extension)."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1) -> DataFrame:
@@ -39,6 +42,40 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def limited(events: DataFrame, by: str, at: str, most: int, seconds: int) -> DataFrame:
+    """by, event_id, allowed: a client's request is refused when ``most`` allowed ones lie less than ``seconds`` back (STM-3).
+    State: a client's allowed times that still count; it ends when the last of them has."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [*state.get[0]] if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        fine = []
+        for t in rows["at"].tolist():
+            held = [h for h in held if t - h < seconds * 1_000_000]
+            fine.append(len(held) < most)
+            if fine[-1]:
+                held.append(t)
+        state.update((held,))
+        yield pd.DataFrame({by: [key[0]] * len(fine), "event_id": rows["event_id"].to_numpy(), "allowed": fine})
+
+    timed = events.select(by, "event_id", F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
+    kind = timed.schema[by].dataType.simpleString()
+    return timed.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def fanned_out(stream: DataFrame, sinks: dict[str, str], key: list[str]) -> None:
+    """Each batch to several Parquet folders (SNK-2). A batch that is run again after a failure replaces what it wrote, as
+    its number names its folder (STM-7)."""
+    spark, at = stream.sparkSession, f"{_shared(stream.sparkSession)}/fan-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(key)
+        for path in sinks.values():
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
 def counts(events: DataFrame, at: str, by: str, width: str, late: str = "1 hour") -> DataFrame:
     """Tumbling counts."""
     grouped = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by).count()
