@@ -11,13 +11,14 @@ import json
 import os
 import re
 from array import array
-from collections import ChainMap
 from unicodedata import is_normalized
 
 import numpy as np
 
-#: Pieces that a worker keeps (about 0.2 kB each). Rarer ones are encoded again when they come back.
+#: Pieces that a worker keeps (about 0.2 kB each). When there are so many it keeps those of the present texts alone and
+#: begins anew.
 CACHE = 700_000
+#: Bytes of a piece that is kept beyond the texts that hold it.
 LONGEST = 64
 CLOSING = b".,!?;:#$%&*|"
 #: Bytes of text that are looked up together.
@@ -30,6 +31,7 @@ _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from 256 on, in order.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted({*range(256)}.difference(_PLAIN)))}
+_ALPHABET_SPACE = chr(_ALPHABET[0x20])
 _loaded: dict[str, Encoder] = {}
 
 
@@ -73,23 +75,24 @@ class Encoder:
         return text.isalpha() and max(text) < "\u0250" and (self.kind == "spaced" or text == text.lower() and is_normalized("NFC", text))
 
     def library_ids(self, pieces: list[bytes]) -> list[bytes]:
-        direct = [self.kind != "whole" and self.one_word(p) for p in pieces]
+        ask, code, whole, one_word = self.library.model.tokenize, self.code, self.kind == "whole", self.one_word
+        plain = lambda p: p.decode("ascii").replace(" ", _ALPHABET_SPACE) if p.isascii() else p.decode("latin-1").translate(_ALPHABET)
+        direct = [not whole and (p.isalpha() or one_word(p)) for p in pieces]
         rest = [p.decode("utf-8") for p, d in zip(pieces, direct, strict=True) if not d]
         others = iter(self.library.encode_batch_fast(rest, add_special_tokens=False))
-        ask = self.library.model.tokenize
-        ids = [[t.id for t in ask(p.decode("latin-1").translate(_ALPHABET))] if d else next(others).ids for p, d in zip(pieces, direct, strict=True)]
-        return [array(self.code, x).tobytes() for x in ids]
-
-    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that the cache lacks. Closing marks after a letter are tokens of their own."""
-        if self.kind == "whole":
-            return dict(zip(missing, self.library_ids([*missing]), strict=True))
-        stems = {p: s for p in missing if len(s := p.rstrip(CLOSING)) < len(p) and s and s.decode("utf-8")[-1].lower().isalpha()}
-        wanted = [p for p in {stems.get(p, p) for p in missing}.union(p[len(s) :] for p, s in stems.items()) if p not in self.cache]
-        got = dict(zip(wanted, self.library_ids(wanted), strict=True))
-        find = ChainMap(got, self.cache)
-        got.update({p: find[s] + find[p[len(s) :]] for p, s in stems.items()})
-        return got
+        return [array(code, [t.id for t in ask(plain(p))] if d else next(others).ids).tobytes() for p, d in zip(pieces, direct, strict=True)]
+
+    def learn(self, missing: set[bytes]) -> None:
+        """Puts the ids of pieces that the cache lacks into it. Closing marks after a letter are tokens of their own."""
+        cache = self.cache
+        stems = {}
+        if self.kind != "whole":
+            stems = {p: s for p in missing if p[-1] in CLOSING and (s := p.rstrip(CLOSING)) and (s[-1:].isalpha() or s.decode("utf-8")[-1].lower().isalpha())}
+        wanted = [p for p in missing if p not in stems]
+        parts = {x for p, s in stems.items() for x in (s, p[len(s) :])}
+        wanted += parts.difference(cache, wanted)
+        cache.update(zip(wanted, self.library_ids(wanted), strict=True))
+        cache.update({p: cache[s] + cache[p[len(s) :]] for p, s in stems.items()})
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``."""
@@ -106,15 +109,18 @@ class Encoder:
 
     def _block(self, raws: list[bytes]) -> list[bytes]:
         pieces = [self.pieces(raw) for raw in raws]
-        ids = [[*map(self.cache.get, ps)] for ps in pieces]
-        missing = {p for ps, xs in zip(pieces, ids, strict=True) for p, x in zip(ps, xs, strict=True) if x is None}
+        here = set().union(*pieces)
+        missing = {p for p in here if p not in self.cache}
         if missing:
-            got = self.learn(missing)
-            for ps, xs in zip(pieces, ids, strict=True):
-                xs[:] = [got[p] if x is None else x for p, x in zip(ps, xs, strict=True)]
-            if len(self.cache) < CACHE:
-                self.cache.update({p: x for p, x in got.items() if len(p) <= LONGEST})
-        return [*map(b"".join, ids)]
+            if len(self.cache) + len(missing) > CACHE:
+                self.cache = {p: self.cache[p] for p in here.difference(missing)}
+            self.learn(missing)
+        find = dict(zip(here, map(self.cache.__getitem__, here), strict=True)).__getitem__  # small, so that lookups are fast
+        out = [b"".join(map(find, ps)) for ps in pieces]
+        for p in missing:
+            if len(p) > LONGEST:
+                self.cache.pop(p, None)
+        return out
 
 
 def encoder(path: str) -> Encoder:
