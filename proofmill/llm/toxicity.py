@@ -94,11 +94,12 @@ def fit(raws: list[bytes], y: np.ndarray, seed: int = 1) -> Network:
         worst = np.concatenate([net.forward(gates, w.index, start[a : a + 4000], length[a : a + 4000]) for a in range(0, len(start), 4000)])
     best = np.full(len(y), -20.0)
     np.maximum.at(best, doc, worst)
-    # The shift: the logit that parts the fitted texts with the fewest (weighed) errors, in the middle of its gap.
+    # The shift: the logit that parts the fitted texts with the fewest errors, at a quarter of its gap, since unseen toxic
+    # texts fall short of the fitted ones by more than unseen others exceed them.
     order = np.argsort(best)
     wrong = np.cumsum(np.where(y[order] == 1, 1.0, -1.0)) + (y == 0).sum()
     wrong = np.concatenate([[(y == 0).sum()], wrong])
-    ends = np.concatenate([[best[order[0]] - 1], (best[order][1:] + best[order][:-1]) / 2, [best[order[-1]] + 1]])
+    ends = np.concatenate([[best[order[0]] - 1], 0.25 * best[order][1:] + 0.75 * best[order][:-1], [best[order[-1]] + 1]])
     least = np.flatnonzero(wrong == wrong.min())
     net.shift = float(ends[least[len(least) // 2]])
     return net
