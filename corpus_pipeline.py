@@ -1,7 +1,10 @@
 """A training corpus from the documents table, in five stages; each takes what the one before it kept.
 
-Stages return the columns of documents but for the last, which returns the packed pieces. Nulls, empty texts, repeated
-rows and empty tables go through each stage as its operator's docstring says.
+Stages return the columns of documents but for the last, which returns the packed pieces; other columns go, whatever
+their names. Null and empty texts: graded as empty by quality (so they go or stay alike), without lines, never near
+duplicates, no words to the mix (so it takes none of them), an end id each to the packer. Rows that share an id or have
+none: documents of their own to quality, lines, mix and pack; of rows of one id near_duplicates keeps all or none, and all
+without an id. Very long texts are taken whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
-#: A fitted classifier and seeded draws can't be told in SQL; tests hold each stage against a brute-force version.
+#: A fitted classifier and seeded draws can't be told in SQL; tests hold the operators and near_duplicates against brute
+#: force, the other stages against what they must keep.
 ORACLE_SQL = None
 
 
