@@ -100,8 +100,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         width = encode.dtype.itemsize
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 raws = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
                 texts = [ids + end for ids in encode.encode(raws)]
                 joined = b"".join(texts)

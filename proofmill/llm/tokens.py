@@ -14,15 +14,17 @@ from array import array
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker keeps (about 0.2 kB each). When there are so many it keeps those of the present texts alone and
-#: begins anew.
+#: Pieces that a worker keeps (about 0.2 kB each), in two halves: when the newer is full it replaces the older, and a
+#: piece that is met again moves from the older to the newer.
 CACHE = 700_000
 #: Bytes of a piece that is kept beyond the texts that hold it.
 LONGEST = 64
 CLOSING = b".,!?;:#$%&*|"
-#: Bytes of text that are looked up together.
-BLOCK = 250_000
+#: Bytes of text that are looked up together, and of the kind that drops white space, which Arrow splits.
+BLOCK, SPLIT_BLOCK = 250_000, 4_000_000
 _PIECES = re.compile(rb"[\x20\x09-\x0d]+[^\x20\x09-\x0d]+|[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _ODD = (b"\0", b"\t", b"\x0b", b"\x0c", b"\r", b"  ", b"\n\n", b" \n", b"\n ")
 #: White space beyond ASCII, which may join a run of ASCII white space into one token.
@@ -52,6 +54,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def pieces(self, raw: bytes) -> list[bytes]:
         if self.kind == "drops":
@@ -82,28 +85,44 @@ class Encoder:
         others = iter(self.library.encode_batch_fast(rest, add_special_tokens=False))
         return [array(code, [t.id for t in ask(plain(p))] if d else next(others).ids).tobytes() for p, d in zip(pieces, direct, strict=True)]
 
+    def recall(self, pieces: set[bytes]) -> set[bytes]:
+        """Moves pieces from the older half of the cache to the newer; gives those that neither holds."""
+        again = self.older.keys() & pieces
+        self.cache.update({p: self.older.pop(p) for p in again})
+        return pieces - again
+
     def learn(self, missing: set[bytes]) -> None:
         """Puts the ids of pieces that the cache lacks into it. Closing marks after a letter are tokens of their own."""
         cache = self.cache
+        missing = self.recall(missing)
         stems = {}
         if self.kind != "whole":
             stems = {p: s for p in missing if p[-1] in CLOSING and (s := p.rstrip(CLOSING)) and (s[-1:].isalpha() or s.decode("utf-8")[-1].lower().isalpha())}
         wanted = [p for p in missing if p not in stems]
         parts = {x for p, s in stems.items() for x in (s, p[len(s) :])}
-        wanted += parts.difference(cache, wanted)
+        wanted += self.recall(parts.difference(cache, wanted))
         cache.update(zip(wanted, self.library_ids(wanted), strict=True))
         cache.update({p: cache[s] + cache[p[len(s) :]] for p, s in stems.items()})
 
+    def settle(self, missing: set[bytes]) -> None:
+        """After a block: forgets long pieces, and the older half when the newer is full."""
+        for p in missing:
+            if len(p) > LONGEST:
+                self.cache.pop(p, None)
+        if len(self.cache) > CACHE // 2:
+            self.cache, self.older = {}, self.cache
+
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``."""
+        block, bytes_of_block = (self._split_block, SPLIT_BLOCK) if self.kind == "drops" else (self._block, BLOCK)
         out: list[bytes] = []
         at = 0
         while at < len(raws):
             end, size = at, 0
-            while end < len(raws) and size < BLOCK:
+            while end < len(raws) and size < bytes_of_block:
                 size += len(raws[end])
                 end += 1
-            out += self._block(raws[at:end])
+            out += block(raws[at:end])
             at = end
         return out
 
@@ -112,16 +131,34 @@ class Encoder:
         here = set().union(*pieces)
         missing = {p for p in here if p not in self.cache}
         if missing:
-            if len(self.cache) + len(missing) > CACHE:
-                self.cache = {p: self.cache[p] for p in here.difference(missing)}
             self.learn(missing)
         find = dict(zip(here, map(self.cache.__getitem__, here), strict=True)).__getitem__  # small, so that lookups are fast
         out = [b"".join(map(find, ps)) for ps in pieces]
-        for p in missing:
-            if len(p) > LONGEST:
-                self.cache.pop(p, None)
+        self.settle(missing)
         return out
 
+    def _split_block(self, raws: list[bytes]) -> list[bytes]:
+        """The same where white space is dropped: Arrow splits the texts, numbers their distinct words and deals out ids."""
+        texts = pa.array(raws, pa.binary()).cast(pa.string())
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lower else texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        cache = self.cache
+        cache[b""] = b""  # stands before leading and after trailing white space
+        found = [*map(cache.get, distinct)]
+        missing = {p for p, ids in zip(distinct, found, strict=True) if ids is None}
+        if missing:
+            self.learn(missing)
+            found = [cache[p] if ids is None else ids for p, ids in zip(distinct, found, strict=True)]
+        width = self.dtype.itemsize
+        ends = np.cumsum([0, *map(len, found)]) // width
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), self.dtype)))
+        dealt = ids.take(coded.indices)
+        limits = (dealt.offsets.to_numpy()[words.offsets.to_numpy()] * width).tolist()
+        flat = dealt.flatten().to_numpy().tobytes()
+        self.settle(missing)
+        return [flat[a:b] for a, b in zip(limits, limits[1:])]
+
 
 def encoder(path: str) -> Encoder:
     """One for each path and worker process, kept between tasks."""
