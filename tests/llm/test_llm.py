@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from proofmill.llm import binary, line_dedup, mixing, near_join, neighbours, packing, quality_classifier, quality_rules, queries, substring_dedup, toxicity
+from proofmill.llm import binary, line_dedup, mixing, near_join, neighbours, packing, quality_classifier, quality_rules, queries, substring_dedup, tokens, toxicity
 from proofmill.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,19 @@ def test_quality_rules(spark, awkward, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_encoder_forgets(monkeypatch):
+    """Ids stay the library's when pieces move between the halves of a small cache or are met again after it forgot them."""
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    monkeypatch.setattr(tokens, "SPLIT_BLOCK", 300)
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    texts = [" ".join(f"{'ab' * (i % 37)}{chr(97 + i * j % 26)}{'.!'[: j % 3]}" for j in range(20)) for i in range(200)]
+    texts += ["", " ", "\n a\x1cb \x0b", "x" * 300, "É\u0085à b", *texts[:50]]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(public_tokenizers.path(name))
+        for ids, t in zip(e.encode([t.encode() for t in texts]), texts, strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder():
     texts = ["", " ", "a", "it's  two\n\nlines \t x", "É“quoted”\xa0\n\xa0\xa0!!", "don't <|endoftext|> İ##", LONG[:3000], "x\x00y z.,"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
