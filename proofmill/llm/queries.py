@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from proofmill.llm.binary import op6_binary_output
+from proofmill.llm.importance import OP11_SQL, op11_importance
 from proofmill.llm.line_dedup import OP5_SQL, op5_line_dedup
 from proofmill.llm.mixing import op4_mixing
 from proofmill.llm.near_join import op9_ngram_jaccard_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_importance": op11_importance,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_importance": OP11_SQL}

@@ -87,3 +87,14 @@ def sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
 
 def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def folding(digits: bool) -> bytes:
+    """A table for bytes.translate: A-Z in lower case; letters, bytes beyond ASCII and, if asked, digits stay; the rest become spaces."""
+    letters = {*b"abcdefghijklmnopqrstuvwxyz", *range(128, 256), *(b"0123456789" if digits else b"")}
+    return bytes(c if c in letters else 32 for c in bytes(range(256)).lower())
+
+
+def runs_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """Starts of runs of n neighbours in one text."""
+    return np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.empty(0, np.int64)
