@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from proofmill.llm.binary import op6_binary_output
+from proofmill.llm.decontamination import OP13_SQL, op13_decontamination
+from proofmill.llm.divergence import OP12_SQL, op12_divergence
 from proofmill.llm.importance import OP11_SQL, op11_importance
 from proofmill.llm.line_dedup import OP5_SQL, op5_line_dedup
 from proofmill.llm.mixing import op4_mixing
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_importance": op11_importance,
+    "op12_divergence": op12_divergence,
+    "op13_decontamination": op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_importance": OP11_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_importance": OP11_SQL, "op12_divergence": OP12_SQL, "op13_decontamination": OP13_SQL}
