@@ -25,21 +25,23 @@ MAX_N, BUCKETS, PERCENT, MIN_WORDS, SEED = 1, 10_000, 10, 20, 2024
 #: Bytes of text that are encoded together; a longer text is a block of its own.
 BLOCK = 4_000_000
 _FOLD = folding(digits=True)
-_BLOCK = "docs array<struct<doc_id:long,row:long,n:int>>, codes binary, words array<binary>"
+_BLOCK = "docs array<struct<doc_id:long,row:long,n:int>>, codes binary, words array<struct<word:binary,n:long>>"
 _SUMS = "doc_id long, row long, n_words long, n_features long, gains long"
 
 
 def _encoded(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, row, text): their rows, distinct words and all words as places among these."""
+    """Blocks of ``docs`` (doc_id, row, text): their rows, distinct words with their numbers, and all words as places among these."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         texts = [raw.translate(_FOLD).split() for _, _, raw in rows]
         coded = pa.array([w for words in texts for w in words], pa.binary()).dictionary_encode()
         docs = [{"doc_id": i, "row": r, "n": len(words)} for (i, r, _), words in zip(rows, texts, strict=True)]
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32())]))
-        codes = coded.indices.to_numpy().astype("<u2" if len(coded.dictionary) <= 1 << 16 else "<u4").tobytes()
-        words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-        return pa.RecordBatch.from_arrays([pa.array([docs], kind), pa.array([codes], pa.binary()), words], ["docs", "codes", "words"])
+        codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+        counted = pa.StructArray.from_arrays([coded.dictionary, pa.array(np.bincount(codes, minlength=size), pa.int64())], ["word", "n"])
+        words = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), counted)
+        packed = codes.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([docs], kind), pa.array([packed], pa.binary()), words], ["docs", "codes", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -59,40 +61,40 @@ def _encoded(docs: DataFrame) -> DataFrame:
 def _grams(batch: pa.RecordBatch, i: int, max_n: int) -> tuple[list[dict], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a block: its rows, the distinct tuples of each length as places among the block's words, and for each
     occurrence the number of its tuple (shorter lengths first) and of its document. The same whenever it is called."""
-    docs, raw, ids = batch.column("docs")[i].as_py(), batch.column("codes")[i].as_py(), batch.column("ids")[i].values
-    words = 0 if ids is None else len(ids)
+    docs, raw, words = (batch.column(c)[i].as_py() for c in ("docs", "codes", "size"))
     codes = np.frombuffer(raw, "<u2" if words <= 1 << 16 else "<u4").astype(np.int64)
     doc = np.repeat(np.arange(len(docs)), [d["n"] for d in docs])
     tuples, at, of = [np.arange(words)[:, None]], [codes], [doc]
     known, first = codes, words
     for n in range(2, max_n + 1):
         start = runs_of(doc, n)
-        pairs = np.full(len(codes), -1, np.int64)
         distinct, number = np.unique(known[start] * max(words, 1) + codes[start + n - 1], return_inverse=True)
-        pairs[start] = number
+        known = np.full(len(codes), -1, np.int64)
+        known[start] = number
         tuples.append(np.column_stack([tuples[-1][distinct // max(words, 1)], distinct % max(words, 1)]))
         at.append(first + number)
         of.append(doc[start])
-        known, first = pairs, first + len(distinct)
+        first += len(distinct)
     return docs, tuples, np.concatenate(at), np.concatenate(of)
 
 
-def _tuples(blocks: DataFrame, max_n: int) -> DataFrame:
-    """block, target, place, n and the word numbers of each distinct tuple of a block."""
+def _longer(blocks: DataFrame, max_n: int) -> DataFrame:
+    """block, target, place, n and the word numbers of each distinct tuple of two words or more of a block, whose words'
+    numbers are ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, tuples, at, _ = _grams(batch, i, max_n)
-                total = sum(map(len, tuples))
-                if not total:
+                single, total = len(tuples[0]), sum(map(len, tuples))
+                if total == single:
                     continue
-                n = np.bincount(at, minlength=total)
                 ids = batch.column("ids")[i].values.to_numpy()
-                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.full(len(t), t.shape[1]) for t in tuples]))])
-                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([ids[t].ravel() for t in tuples])))
-                block, target = (pa.repeat(batch.column(c)[i], total) for c in ("block", "target"))
-                yield pa.RecordBatch.from_arrays([block, target, pa.array(np.arange(total), pa.int32()), pa.array(n, pa.int64()), words], ["block", "target", "place", "n", "tuple"])
+                ends = np.cumsum(np.concatenate([[0], *(np.full(len(t), t.shape[1]) for t in tuples[1:])]))
+                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([ids[t].ravel() for t in tuples[1:]])))
+                block, target = (pa.repeat(batch.column(c)[i], total - single) for c in ("block", "target"))
+                n = np.bincount(at, minlength=total)[single:]
+                yield pa.RecordBatch.from_arrays([block, target, pa.array(np.arange(single, total), pa.int32()), pa.array(n, pa.int64()), words], ["block", "target", "place", "n", "tuple"])
 
     return blocks.mapInArrow(run, "block long, target boolean, place int, n long, tuple array<long>")
 
@@ -123,20 +125,24 @@ def _gains(docs: DataFrame, target: DataFrame, max_n: int, buckets: int) -> Data
     """Sums of gains of ``docs`` (doc_id, row, text); stored."""
     side = lambda d, t: _encoded(d).withColumn("target", F.lit(t))
     raw = side(docs, False).unionByName(side(target, True)).withColumn("block", F.monotonically_increasing_id())
-    raw = written(raw, "blocks", "zstd")
-    words = raw.select("block", F.posexplode("words").alias("i", "word"))
-    dictionary = written(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    ids = _by_place(words.join(dictionary, "word"), "i", "id", "ids")
-    blocks = written(raw.drop("words").join(ids, "block", "left"), "numbered-blocks", "zstd")
-    discard(raw)
+    raw = written(raw.withColumn("size", F.size("words")), "blocks", "zstd")
+    words = raw.select("block", "target", F.posexplode("words").alias("place", "w")).select("block", "target", "place", "w.word", "w.n")
+    dictionary = written(raw.select(F.explode("words.word").alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary", "zstd")
+    numbered = written(words.join(dictionary, "word").select("block", "target", "place", "n", "id"), "numbered-words", "zstd")
+    tuples = numbered.select("block", "target", "place", "n", F.array("id").alias("tuple"))
+    blocks = raw.select("block", "target", "docs", "codes", "size")
+    stored = [numbered]
+    if max_n > 1:
+        stored.append(written(_longer(blocks.join(_by_place(numbered, "place", "id", "ids"), "block"), max_n), "longer", "zstd"))
+        tuples = tuples.unionByName(stored[-1])
 
     of = lambda t: F.sum(F.when(F.col("target") == t, F.col("n")).otherwise(0))
-    distinct = _tuples(blocks, max_n).groupBy("tuple").agg(of(False).alias("s"), of(True).alias("t"))
-    distinct = written(distinct.withColumn("gram", F.monotonically_increasing_id()), "tuples")
+    distinct = tuples.groupBy("tuple").agg(of(False).alias("s"), of(True).alias("t"))
+    distinct = written(distinct.withColumn("gram", F.monotonically_increasing_id()), "tuples", "zstd")
     parts = distinct.select("gram", F.posexplode("tuple").alias("i", "id")).join(dictionary, "id")
     spelled = parts.groupBy("gram").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"].cast("string")), " ").alias("bytes"))
     hashed = distinct.join(spelled.select("gram", F.pmod(F.crc32(F.col("bytes").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")), "gram").drop("gram")
-    hashed = written(hashed, "hashed")
+    hashed = written(hashed, "hashed", "zstd")
     discard(dictionary, distinct)
 
     sums = written(hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
@@ -144,9 +150,11 @@ def _gains(docs: DataFrame, target: DataFrame, max_n: int, buckets: int) -> Data
     smooth = lambda c, n: F.lit(float(n + buckets)) * (F.col(c).cast("double") + 1)
     gain = sums.select("bucket", F.floor(1000 * F.ln(smooth("t", total.s) / smooth("s", total.t))).cast("long").alias("gain"))
     gain = hashed.join(F.broadcast(gain), "bucket").select("tuple", "gain")  # as many rows as there are buckets
-    back = _by_place(_tuples(blocks.where("not target"), max_n).select("block", "place", "tuple").join(gain, "tuple"), "place", "gain", "gains")
+    back = tuples.where("not target").select("block", "place", "tuple").join(gain, "tuple")
+    back = written(_by_place(back, "place", "gain", "gains"), "gains-of-blocks", "zstd")
+    discard(*stored, hashed)
     found = written(_summed(blocks.where("not target").join(back, "block", "left"), max_n), "gains")
-    discard(blocks, hashed, sums)
+    discard(raw, sums, back)
     return found
 
 
