@@ -103,7 +103,7 @@ def _read(docs: DataFrame, length: int, parts: list[int], bits: np.ndarray) -> D
                 segments: list[list] = [[] for _ in range(b - a)]
                 cuts = np.flatnonzero(np.diff(of * (1 << 40) + place // SEGMENT, prepend=-1)).tolist()
                 split: tuple[int, list] = (-1, [])
-                for s, e in zip(cuts, [*cuts[1:], len(of)], strict=True):
+                for s, e in zip(cuts, [*cuts, len(of)][1:], strict=True):
                     d, start = int(of[s]), max(0, int(place[s]) // SEGMENT * SEGMENT - length + 1)
                     if split[0] != d:
                         split = (d, texts[a + d].split())
