@@ -215,12 +215,7 @@ def section_starts(table):
 
 
 def _sections(table):
-    pages = _prospectus(table)
-    toc = pages.where("page = 2").select("s_suppkey", F.posexplode(sections.toc_titles(sections.clean_lines(F.col("text")))).alias("ord", "title"))
-    tops = pages.select("s_suppkey", "page", sections.top_lines(F.col("text")).alias("lines"))
-    starts = claims.section_starts(toc, tops, "s_suppkey", "ord", "title", "page", "lines", after=2)
-    named = starts.withColumn("section", sections.target_name(F.col("title"))).where("section is not null").withColumn("last", F.lit(10))
-    return claims.section_ends(named, "s_suppkey", "start", "ord", "last").select("s_suppkey", "section", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return sections.section_map(_prospectus(table), "s_suppkey")
 
 
 @query("""WITH s AS (SELECT s_suppkey k, CAST(s_suppkey % 3 AS INT) a FROM supplier), l AS (SELECT k, 0 AS ord, 'general_information' AS section, 3 + a AS start FROM s UNION ALL SELECT k, 1, 'objects', 5 + a FROM s WHERE k % 5 <> 0 UNION ALL SELECT k, 2, 'litigation', 8 + a FROM s),

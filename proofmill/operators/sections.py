@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofmill.functions.dates import MONTHS, absolute_date
+from proofmill.operators import claims
 from proofmill.operators.claims import mode_latest
 
 # Patterns of section titles, contents lines, page headers and covers.
@@ -32,6 +34,8 @@ MIXED_ISSUER_LINE = r"^[A-Z][A-Za-z0-9&.,'()-]*( [A-Za-z0-9&.,'()-]+){1,10} Limi
 INTERMEDIARY = r"(?i)STOCK EXCHANGE|SECURITIES AND EXCHANGE|REGISTRAR|LEAD MANAGER"
 BARE_SUFFIX = r"(?i)^(PRIVATE|PUBLIC)\s+LIMITED$"
 COVER_PAGES, FRONT_PAGES = 3, 8
+#: A contents list is looked for on so many first pages.
+TOC_SEARCH_PAGES = 15
 
 
 def single_spaced(text: Column) -> Column:
@@ -80,6 +84,48 @@ def toc_titles(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["out"])
 
 
+def contents(pages: DataFrame, doc: str, page: str, lines: str) -> DataFrame:
+    """doc, toc_page, ord, title of the documents' contents lists (STR-13): the first page with a contents title among the
+    first of the document, and the page after it, onto which a list can spill. A document without such a page has no row;
+    one whose list names nothing has one with a null title."""
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(page))
+    listed = F.exists(lines, lambda x: x.rlike(TOC_TITLE))
+    toc = pages.select(doc, page, listed.alias("listed")).withColumn("place", place).where(f"listed and place <= {TOC_SEARCH_PAGES}").groupBy(doc).agg(F.min(page).alias("toc_page"))
+    spread = pages.join(toc, doc).where((F.col(page) == F.col("toc_page")) | (F.col(page) == F.col("toc_page") + 1))
+    titles = spread.select(doc, page, F.posexplode(toc_titles(F.col(lines))).alias("at", "title"))
+    ord_ = (F.row_number().over(Window.partitionBy(doc).orderBy(page, "at")) - 1).alias("ord")
+    return toc.join(titles.select(doc, ord_, "title"), doc, "left")
+
+
+def section_map(pages: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
+    """doc, section, title, start, end of the sections that a document's contents list and headings locate (STR-13, JN-12,
+    WIN-2, WIN-3): nothing is guessed.
+
+    Titles come from the contents list, in its order; each starts at the first page after the list, not before the one
+    found last, that has it among its first lines. A title that is listed again counts where it is found last, at its
+    first place in the list. A section ends a page before the next located title, whatever that names, and the last one
+    with the document. Of two titles that name one section the earlier counts.
+    """
+    read = pages.select(doc, page, clean_lines(F.col(text)).alias("lines"), top_lines(F.col(text)).alias("tops"))
+    toc = contents(read, doc, page, "lines")
+    titles = toc.where("title is not null").select(doc, "ord", "title")
+    after = read.join(toc.select(doc, "toc_page").distinct(), doc).where(F.col(page) > F.col("toc_page")).select(doc, page, "tops")
+    found = claims.section_starts(titles, after, doc, "ord", "title", page, "tops")
+    once = found.groupBy(doc, "title").agg(F.min("ord").alias("ord"), F.max("start").alias("start"))
+    last = pages.groupBy(doc).agg(F.max(page).cast("bigint").alias("last"))
+    ended = claims.section_ends(once.join(last, doc), doc, "start", "ord", "last").withColumn("section", target_name(F.col("title")))
+    return claims.first_by(ended.where("section is not null"), [doc, "section"], F.col("start"), F.col("ord")).select(doc, "section", "title", "start", "end")
+
+
+def section_gaps(pages: DataFrame, located: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
+    """doc, toc_page (null: no list), missing (names of the sections that weren't located, in order). ``located``: of ``section_map``."""
+    toc = contents(pages.select(doc, page, clean_lines(F.col(text)).alias("lines")), doc, page, "lines").select(doc, "toc_page").distinct()
+    have = located.groupBy(doc).agg(F.collect_set("section").alias("have"))
+    known = F.array(*[F.lit(n) for n in sorted(TARGETS)])
+    every = pages.select(doc).distinct().join(toc, doc, "left").join(have, doc, "left")
+    return every.select(doc, "toc_page", F.array_except(known, F.coalesce("have", F.array().cast("array<string>"))).alias("missing"))
+
+
 def pages_of(sections: DataFrame, pages: DataFrame, doc: str, start: str, end: str, page: str) -> DataFrame:
     """Each section with the pages of its range (JN-11): the range is unfolded, so that the join has keys."""
     return sections.withColumn(page, F.explode(F.sequence(F.col(start), F.greatest(F.col(start), F.col(end))))).join(pages, [doc, page])
