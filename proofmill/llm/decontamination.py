@@ -20,12 +20,11 @@ from pyspark.sql.window import Window
 
 from proofmill.llm.store import discard, documents, small, written
 from proofmill.llm.words import blocks, folding, raw_texts, window_hashes, word_hashes
+from proofmill.operators.marks import bitmap, marked
 
 LENGTH, SHINGLE = 10, 5
 #: Shingles of a document that start in the same so many words are one segment.
 SEGMENT = 64
-#: Bits of the bitmap: MARKS for each distinct shingle of items, up to MOST (16 MB) whatever their number.
-MARKS, MOST = 32, 1 << 27
 #: Windows are broadcast if their words and numbers take no more bytes together.
 BROADCAST_BYTES = 8_000_000
 _FOLD = folding(digits=True)
@@ -55,28 +54,6 @@ def _windows(items: DataFrame, length: int, shingle: int) -> DataFrame:
     return items.mapInArrow(run, _WINDOWS)
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits that are set for the hashes ``h``: put together by bytes before they come to the driver, MOST bits at most."""
-    n = hashes.count()
-    size = 1 << 10
-    while size < min(MOST, MARKS * n):
-        size *= 2
-    at = F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("at")
-    marks = hashes.select(at).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(size // 32, "<u4")
-    bits[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().astype(np.uint32)
-    return bits.view(np.uint8)
-
-
-def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes may be in the bitmap."""
-    size = np.uint64(len(bits) * 8 - 1)
-    found = np.ones(len(h), bool)
-    for at in (h & size, (h >> np.uint64(32)) & size):
-        found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return found
-
-
 def _read(docs: DataFrame, length: int, parts: list[int], bits: np.ndarray) -> DataFrame:
     """Rows of ``docs`` (doc_id, row, text) with n_words and segments: start, words, and at and h of the marked shingles."""
 
@@ -92,7 +69,7 @@ def _read(docs: DataFrame, length: int, parts: list[int], bits: np.ndarray) -> D
                 for part in parts:
                     h, inside = window_hashes(hashes, doc, part)
                     at = np.flatnonzero(inside)
-                    at = at[_marked(bits, h[at])]
+                    at = at[marked(bits, h[at])]
                     found.append((at, h[at].view(np.int64)))
                 at = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
                 h = np.concatenate([f[1] for f in found]) if found else at
@@ -132,7 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH, shingl
     windows = written(windows, "windows")
     shingles = windows.select(F.explode("hashes").alias("h"), (F.col("n") - F.size("hashes") + 1).alias("part"))
     parts = sorted(r.part for r in shingles.select("part").distinct().collect())  # no more than a shingle has words
-    bits = _bitmap(shingles.select("h").distinct())
+    bits = bitmap(shingles.select("h").distinct(), "h")
     row = F.monotonically_increasing_id().alias("row")
     read = written(_read(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, text), length, parts, bits), "segments", "zstd")
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from proofmill.llm import decontamination, divergence, importance
+from proofmill.operators import marks
 
 SF = "/root/testdata/sf0.001"
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -182,7 +183,7 @@ def test_contaminated_table(spark):
 def test_contaminated_crowded_bitmap_and_shuffled_joins(spark, awkward, hard_items, monkeypatch):
     """A bitmap that is full lets everything through and changes nothing; nor do joins without broadcasts."""
     want = contaminated(awkward, hard_items)
-    monkeypatch.setattr(decontamination, "MOST", 1 << 10)
+    monkeypatch.setattr(marks, "MOST", 1 << 10)
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(decontamination, "small", lambda df: df)
     assert contaminated(awkward, hard_items) == want
