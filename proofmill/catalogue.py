@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import dates, guards, money, names
 from proofmill.operators import claims, ledger, matching
+from proofmill.operators.containment import containing
 from proofmill.plans import rules
 from proofmill.streaming import journal
 
@@ -316,29 +317,9 @@ def dedupe_claims(table):
 
 
 def _passages(table) -> DataFrame:
-    """Documents that hold a benchmark item. An item meets documents by the hash of its inner words, seven at most (its
-    first and last words may be parts of longer ones in a document); hashes alone go into that join, texts come back for
-    the few documents it leaves, and are compared whole. Items of one or two words have no inner word; they are looked for
-    in every text."""
-    items = table("benchmark").select("item_id", F.col("text").alias("item")).where("item is not null")
-    inner = lambda w: F.slice(w, 2, F.least(F.size(w) - 2, F.lit(7)))
-    keyed = items.withColumn("n", F.greatest(F.lit(0), F.least(F.size(F.split("item", r"\s+")) - 2, F.lit(7))))
-    docs, near = table("documents"), None
-    for n in sorted(r.n for r in keyed.select("n").distinct().collect()):  # 0 to 7
-        if not n:
-            continue
-        w = F.split("text", r"\s+")
-        words = F.lit(n)
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))  # noqa: B023
-        held = docs.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(windows)).alias("k"))
-        wanted = keyed.where(F.col("n") == n).select("item_id", F.xxhash64(F.array_join(inner(F.split("item", r"\s+")), " ")).alias("k"))
-        part = held.join(wanted, "k").select("doc_id", "item_id")
-        near = part if near is None else near.unionByName(part)
-    short = docs.select("doc_id", "text").join(keyed.where("n = 0").select("item_id", "item"), F.expr("contains(text, item)")).select("doc_id", "item_id")
-    if near is None:
-        return short.distinct()
-    found = near.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id").where(F.contains("text", "item")).select("doc_id", "item_id")
-    return found.unionByName(short).distinct()
+    """doc_id, item_id of the documents that hold a benchmark item."""
+    items = table("benchmark").select("item_id", F.col("text").alias("item"))
+    return containing(table("documents"), items, "doc_id", "text", "item").join(items, "item").select("doc_id", "item_id").distinct()
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofmill.catalogue import query
-from proofmill.operators import extraction, sections
+from proofmill.functions import names
+from proofmill.operators import extraction, litigation, sections, vendors
+from proofmill.plans import rules
 
 
 def _txt(*parts):
@@ -130,3 +132,121 @@ def extraction_tallies(table):
     """Claims kept and dropped by task (AGG-17)."""
     kept = F.col("verdict") == "kept"
     return _claims(table).groupBy("task").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), F.countDistinct("o_custkey").alias("n_filings"))
+
+
+def _letters(c):
+    """A name of 32 letters that no other row's is like."""
+    return F.translate(F.md5(c.cast("string")), "0123456789", "ghijklmnop")
+
+
+_MD5 = "translate(md5(CAST({} AS VARCHAR)), '0123456789', 'ghijklmnop')"
+
+
+def _vendors(table):
+    """Customers as vendors; every ninth is a bare trade name. Their orders are pages of searches for them: of those every
+    fourth names the next customer instead, in the title, a like title or the snippet, and states a fact or two."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    vendors = table("customer").select("c_custkey", F.concat(_letters(F.col("c_custkey")), F.when(F.col("c_custkey") % 9 == 0, " Traders").otherwise(" Pvt. Ltd.")).alias("name"))
+    named = _letters(F.when(k % 4 == 0, c + 1).otherwise(c))
+    title = F.when(F.col("o_orderstatus") == "F", F.concat(F.upper(named), F.lit(" PRIVATE LIMITED - Registry"))).when(F.col("o_orderstatus") == "P", F.concat(F.left(named, F.lit(30)), F.lit(" Limited | Company"))).otherwise("Profile of a company")
+    p, n = F.left("o_orderpriority", F.lit(1)), F.round("o_totalprice").cast("long")
+    fact = F.when(p == "1", "Status: Active. ").when(p == "2", _txt("Paid-up capital is Rs. ", n, ". ")).when(p == "3", _txt("Registered office in Town ", F.when(n % 2 == 0, "North").otherwise("South"), ", India. ")).when(p == "4", _txt("Its authorised share capital is Rs. ", n, ". ")).otherwise("Nothing stated. ")
+    snippet = F.concat(fact, F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("The firm x"), named, F.lit("y is listed."))).otherwise("It is listed."))
+    url = _txt(F.when(k % 10 == 0, "https://elsewhere.example/").otherwise("https://www.tofler.in/"), k)
+    look = F.when(n % 3 == 0, 1).otherwise(2)
+    place = F.when(n % 5 == 0, "Town North").when(n % 5 == 1, "Town South")
+    pages = table("orders").select(k.alias("page"), c.alias("c_custkey"), look.alias("look"), place.alias("place"), k.alias("ord"), url.alias("url"), title.alias("title"), snippet.alias("snippet"))
+    return vendors, pages
+
+
+@query(f"""WITH v AS (SELECT c_custkey, c_custkey % 9 <> 0 AS form, {_MD5.format("c_custkey")} || CASE WHEN c_custkey % 9 = 0 THEN ' Traders' ELSE ' Pvt. Ltd.' END AS name FROM customer),
+  p AS (SELECT o_custkey AS c_custkey, o_orderkey AS ord, n % 3 = 0 AS first, CASE n % 5 WHEN 0 THEN 'Town North' WHEN 1 THEN 'Town South' END AS place, CASE WHEN pr = '1' THEN 'active' END AS status, CASE WHEN pr = '2' THEN n * 100 END AS paid,
+    CASE WHEN pr = '3' THEN CASE WHEN n % 2 = 0 THEN 'Town North' ELSE 'Town South' END END AS city, CASE WHEN pr = '4' THEN n * 100 END AS auth
+    FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS n, left(o_orderpriority, 1) AS pr FROM orders) WHERE o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0 AND o_custkey % 9 <> 0),
+  f1 AS (SELECT c_custkey, arg_min(city, ord) FILTER (city IS NOT NULL) AS city, arg_min(paid, ord) FILTER (paid IS NOT NULL) AS paid, arg_min(status, ord) FILTER (status IS NOT NULL) AS status FROM p WHERE first GROUP BY 1),
+  gap1 AS (SELECT c_custkey, city FROM v LEFT JOIN f1 USING (c_custkey) WHERE form AND (paid IS NULL OR status IS NULL)),
+  more AS (SELECT m.* FROM gap1 g, LATERAL (SELECT * FROM p WHERE p.c_custkey = g.c_custkey AND NOT p.first AND (p.place IS NULL OR p.place = g.city)) m),
+  f2 AS (SELECT c_custkey, arg_min(city, ord) FILTER (city IS NOT NULL) AS city, arg_min(paid, ord) FILTER (paid IS NOT NULL) AS paid, arg_min(status, ord) FILTER (status IS NOT NULL) AS status, arg_min(auth, ord) FILTER (auth IS NOT NULL) AS auth,
+    min(ord) FILTER (paid IS NOT NULL) AS src, count(*) AS n FROM (SELECT * FROM p WHERE first UNION ALL SELECT * FROM more) GROUP BY 1)
+  SELECT v.c_custkey, f2.status, CAST(f2.paid AS BIGINT) AS paid_up_paise, CAST(f2.auth AS BIGINT) AS authorised_paise, f2.city, 'https://www.tofler.in/' || f2.src AS paid_up_source, CAST(coalesce(f2.n, 0) AS INT) AS n_pages,
+    g.c_custkey IS NOT NULL AS gap_first, form AND (f2.paid IS NULL OR f2.status IS NULL) AS gap, coalesce(m.n, 0) AS n_second, name || coalesce(' ' || f2.city, '') AS place_query
+  FROM v LEFT JOIN f2 USING (c_custkey) LEFT JOIN gap1 g USING (c_custkey) LEFT JOIN (SELECT c_custkey, count(*) AS n FROM more GROUP BY 1) m USING (c_custkey)""")
+def vendor_second_pass(table):
+    """Registry facts of the pages that name a vendor; those with gaps look again where the first result points, and all
+    facts are filled once more (JN-3, JN-5, JN-17, JN-18, FLT-5, AGG-10)."""
+    found = vendors.vendor_facts(*_vendors(table), "c_custkey", "page", "ord")
+    money = [F.col(c).cast("long").alias(c) for c in ("paid_up_paise", "authorised_paise")]
+    return found.select("c_custkey", "status", *money, "city", F.col("sources")["paid_up_paise"].alias("paid_up_source"), F.coalesce(F.size("matched"), F.lit(0)).alias("n_pages"), "gap_first", "gap", "n_second", "place_query")
+
+
+@query(f"""SELECT o_orderkey AS page, o_custkey + CAST(o_orderkey % 4 = 0 AS INT) AS c_custkey FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) AND (o_orderstatus <> 'O' OR o_custkey % 9 <> 0)
+  UNION ALL SELECT o_orderkey, c.c_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey + 1 JOIN customer d ON d.c_custkey = o.o_custkey AND d.c_nationkey = c.c_nationkey WHERE o_orderkey % 4 = 0 AND (o_orderstatus <> 'O' OR c.c_custkey % 9 <> 0)""")
+def named_vendors(table):
+    """Pages with the vendors of their nation that they name, in their title or as a part of their snippet (JN-5, FLT-5)."""
+    who, pages = _vendors(table)
+    nation = table("customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    found = vendors.named_pages(who.join(nation, "c_custkey"), pages.join(nation, "c_custkey").drop("c_custkey"), "c_custkey", "page", "nation")
+    return found.select("page", "c_custkey")
+
+
+_LEGAL_WORDS = ", ".join(f"'{w}'" for w in names.LEGAL)
+
+
+def _norm_sql(x: str) -> str:
+    """A company name as it is compared; single letters are marked, joined where they follow one another, and unmarked."""
+    plain = rf"trim(regexp_replace(replace(regexp_replace(lower({x}), '^\s*m\s*/\s*s\.?\s*', ''), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    kept = f"array_to_string(list_filter(string_split({plain}, ' '), lambda t: t <> '' AND t NOT IN ({_LEGAL_WORDS})), ' ')"
+    return rf"replace(replace(replace(regexp_replace({kept}, '\b([a-z])\b', '<\1>', 'g'), '> <', ''), '<', ''), '>', '')"
+
+
+#: Of each case its issuer and promoters, of whom the last is one too many to be searched for.
+_CASES = [("In Limited", ["An", "T H", "Ble", "Er"]), ("M/s. E.N Pvt. Ltd.", ["La", "En", "Ou", "Que"]), ("The De LLP", ["Ion", "Es", "Es", "Ci"]), ("E R Private Limited", ["Und", "Ch", "Sch", "Te"])]
+
+
+def _hits(table):
+    """Documents as hits of searches for four cases: by source, for a subject by id, on a legal site or another."""
+    d = F.col("doc_id")
+    host = F.when(d % 5 == 0, "https://news.example/").when(d % 5 == 1, _txt("https://www.sebi.gov.in/enforcement/orders/", F.when(d % 2 == 0, "mar").otherwise("nov"), "-", d % 9 + 2015, "/")).otherwise("https://indiankanoon.org/doc/")
+    subject, k = F.lit(None).cast("string"), F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 4
+    for c, (issuer, people) in enumerate(_CASES):
+        for i, name in enumerate([issuer, *people]):
+            subject = F.when((k == c) & (d % 5 == i), name).otherwise(subject)
+    title = F.split("text", "\n")[0]
+    return table("documents").select("doc_id", k.alias("case"), subject.alias("subject"), F.concat(host, d.cast("string")).alias("url"), title.alias("title"), F.col("text").alias("snippet"))
+
+
+def _matters(table):
+    spark = table("benchmark").sparkSession
+    cases = spark.createDataFrame([(c, issuer) for c, (issuer, _) in enumerate(_CASES)], "case int, issuer string")
+    people = spark.createDataFrame([(c, i, name) for c, (_, names_) in enumerate(_CASES) for i, name in enumerate(names_)], "case int, at int, name string")
+    refs = table("benchmark").select((F.col("item_id") % 4).cast("int").alias("case"), F.col("text").alias("case_ref"))
+    return litigation.matters(_hits(table), litigation.subjects(cases, people, "case", "at"), refs, "case", "doc_id", ascii_only=True)
+
+
+def _matters_sql() -> str:
+    # Of names that are repeated the first counts; three of the distinct ones are searched for.
+    rows = ", ".join(f"({c}, {i}, '{s}', '{issuer}')" for c, (issuer, people) in enumerate(_CASES) for i, s in enumerate([issuer, *list(dict.fromkeys(people))[:3]]))
+    all_ = ", ".join(f"({c}, {i}, '{s}')" for c, (issuer, people) in enumerate(_CASES) for i, s in enumerate([issuer, *people]))
+    return rf"""WITH listed AS (SELECT * FROM (VALUES {all_}) AS t(c, i, subject)), about AS (SELECT *, {_norm_sql("subject")} AS core, {_norm_sql("issuer")} AS issuer_core FROM (VALUES {rows}) AS t(c, i, subject, issuer)),
+  hits AS (SELECT doc_id, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 4 AS c, string_split(text, chr(10))[1] AS title, text, CASE WHEN doc_id % 5 = 0 THEN 'https://news.example/' WHEN doc_id % 5 = 1 THEN 'https://www.sebi.gov.in/enforcement/orders/' || CASE WHEN doc_id % 2 = 0 THEN 'mar' ELSE 'nov' END || '-' || doc_id % 9 + 2015 || '/' ELSE 'https://indiankanoon.org/doc/' END || doc_id AS url FROM documents),
+  named AS (SELECT h.*, a.i = 0 AS about_issuer, a.subject FROM hits h JOIN listed l ON l.c = h.c AND l.i = h.doc_id % 5 JOIN about a ON a.c = h.c AND a.subject = l.subject
+    WHERE h.doc_id % 5 <> 0 AND contains({_norm_sql("title")}, core) AND (a.i = 0 OR contains({_norm_sql("title || ' ' || text || ' ' || url")}, issuer_core))),
+  refs AS (SELECT DISTINCT item_id % 4 AS c, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS ref FROM benchmark WHERE trim(text) <> ''),
+  told AS (SELECT DISTINCT doc_id FROM named n JOIN refs r ON r.c = n.c AND contains(regexp_replace(lower(title || ' ' || text || ' ' || url), '[^a-z0-9]+', '', 'g'), ref)),
+  matters AS (SELECT CAST(n.c AS INT) AS "case", n.doc_id, subject, about_issuer, CASE WHEN n.doc_id % 5 = 1 THEN make_date(n.doc_id % 9 + 2015, CASE WHEN n.doc_id % 2 = 0 THEN 3 ELSE 11 END, 1) END AS day, t.doc_id IS NOT NULL AS disclosed FROM named n LEFT JOIN told t USING (doc_id))"""
+
+
+@query(f"{_matters_sql()} SELECT * FROM matters")
+def litigation_matters(table):
+    """Hits on legal sites that name a case's issuer or promoters, with what the case's references disclose: squashed texts
+    meet squashed references by grams (JN-8, JN-9, DAT-7, SRT-4)."""
+    return _matters(table)
+
+
+@query(f"""{_matters_sql()} SELECT "case", count(*) FILTER (NOT disclosed AND day <= DATE '2020-06-30') AS undisclosed, CASE WHEN count(*) FILTER (NOT disclosed AND day <= DATE '2020-06-30') > 0 THEN 'inconsistent' ELSE 'consistent' END AS status FROM matters GROUP BY 1""")
+def litigation_status(table):
+    """Undisclosed matters up to a cutoff by case (JN-9, LT-03, FLT-9)."""
+    found = _matters(table)
+    left = litigation.undisclosed(found, F.lit("2020-06-30").cast("date")).groupBy("case").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return found.select("case").distinct().join(left, "case", "left").select("case", n.alias("undisclosed"), rules.hits_status(n).alias("status"))

@@ -31,12 +31,8 @@ def folded(text: Column) -> Column:
 
 
 def _initials(tokens: Column) -> Column:
-    """Runs of single letters become one token."""
-    single = lambda t: t.rlike("^[a-z]$")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-    last = lambda s: F.element_at(s["out"], -1)
-    grow = lambda s, t: F.when(single(t) & s["open"], F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(F.concat(last(s), t)))).otherwise(F.array_append(s["out"], t))
-    return F.aggregate(tokens, start, lambda s, t: F.struct(grow(s, t).alias("out"), single(t).alias("open")), lambda s: s["out"])
+    """The tokens with spaces between them, but for runs of single letters, which become one token."""
+    return F.regexp_replace(F.array_join(tokens, " "), r"(?<=\b[a-z]) (?=[a-z]\b)", "")
 
 
 def normalize_company(name: Column, ascii_only: bool = False) -> Column:
@@ -44,7 +40,7 @@ def normalize_company(name: Column, ascii_only: bool = False) -> Column:
     text = F.lower(name if ascii_only else nfkc(name))
     text = F.replace(F.regexp_replace(text, r"^\s*m\s*/\s*s\.?\s*", ""), F.lit("&"), F.lit(" and "))
     tokens = F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
-    return F.array_join(_initials(F.filter(tokens, lambda t: (t != "") & ~t.isin(*LEGAL))), " ")
+    return _initials(F.filter(tokens, lambda t: (t != "") & ~t.isin(*LEGAL)))
 
 
 def registry_core(name: Column) -> Column:
