@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofmill.catalogue import query
+from proofmill.catalogue import QUERIES, SQL, query
 from proofmill.functions import names
 from proofmill.operators import extraction, litigation, sections, vendors
 from proofmill.plans import rules
+from proofmill.streaming import journal
 
 
 def _txt(*parts):
@@ -250,3 +251,40 @@ def litigation_status(table):
     left = litigation.undisclosed(found, F.lit("2020-06-30").cast("date")).groupBy("case").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return found.select("case").distinct().join(left, "case", "left").select("case", n.alias("undisclosed"), rules.hits_status(n).alias("status"))
+
+
+def streamed(sql: str):
+    """Registers a query that reads the events table as a stream."""
+
+    def put(f):
+        def run(spark, sf_dir):
+            path = f"{sf_dir}/events.parquet"
+            return journal.drained(f(journal.read(spark, f"{sf_dir}/events*.parquet", spark.read.parquet(path)), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__], SQL[f.__name__] = run, sql
+        return f
+
+    return put
+
+
+@streamed("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT user_id, event_id, i, [t] AS held, true AS allowed FROM e WHERE i = 1
+    UNION ALL SELECT user_id, event_id, i, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3
+    FROM (SELECT e.user_id, e.event_id, e.i, e.t, list_filter(r.held, lambda h: e.t - h < 43200000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+  SELECT user_id, event_id, allowed FROM r""")
+def stream_limiter(events, table):
+    """Requests on a stream, three of a client in any twelve hours, with state that expires (STM-3)."""
+    return journal.limited(events, "user_id", "ts", 3, 43_200, "3650 days")
+
+
+@streamed("""WITH RECURSIVE e AS (SELECT event_type || user_id AS k, event_id, epoch_us(ts) AS t, user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS held FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS i FROM e WHERE NOT held),
+  r AS (SELECT k, event_id, i, t + 86400000000 AS until, 'fetch' AS outcome FROM n WHERE i = 1
+    UNION ALL SELECT n.k, n.event_id, n.i, CASE WHEN n.t <= r.until THEN r.until ELSE n.t + 86400000000 END, CASE WHEN n.t <= r.until THEN 'missing' ELSE 'fetch' END FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1)
+  SELECT k, event_id, outcome FROM r UNION ALL SELECT k, event_id, 'hit' FROM e WHERE held""")
+def stream_lookups(events, table):
+    """Requests on a stream against a table of answers, with a cache of what it lacks that lasts a day (STM-4)."""
+    held = table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    answers = table("events").join(held, "user_id", "left_semi").select(F.concat("event_type", F.col("user_id").cast("string")).alias("k")).distinct()
+    return journal.looked_up(events.withColumn("k", F.concat("event_type", F.col("user_id").cast("string"))), answers, "k", "ts", 86_400, "3650 days")

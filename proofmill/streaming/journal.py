@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from proofmill.sources.stored import files_of, shared_dir
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1) -> DataFrame:
@@ -24,54 +25,146 @@ def once(events: DataFrame, key: list[str], at: str | None = None, late: str = "
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local master may do without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="proofmill-")
-    return folder
+def _drain(stream: DataFrame, at: str) -> None:
+    job = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/rows")
+    job.awaitTermination()
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """All that the stream has to read, written as Parquet to the shared folder and read again."""
-    spark, at = stream.sparkSession, f"{_shared(stream.sparkSession)}/journal-{uuid.uuid4().hex}"
-    job = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/rows")
-    job.awaitTermination()
+    """All that the stream has to read, written as Parquet to the shared folder and read again; it goes when the driver ends."""
+    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/journal-{uuid.uuid4().hex}"
+    _drain(stream, at)
+    files, path = files_of(spark, at)
+    files.deleteOnExit(path)
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def limited(events: DataFrame, by: str, at: str, most: int, seconds: int) -> DataFrame:
-    """by, event_id, allowed: a client's request is refused when ``most`` allowed ones lie less than ``seconds`` back (STM-3).
-    State: a client's allowed times that still count; it ends when the last of them has."""
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [*state.get[0]] if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
+class Limiter(StatefulProcessor):
+    """A client's allowed requests that still count; a timer ends them when the watermark has passed the last one's end."""
+
+    def __init__(self, by: str, most: int, micros: int):
+        self.by, self.most, self.micros = by, most, micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.allowed = handle.getListState("allowed", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        batch = pd.concat(list(rows))
+        batch = batch.assign(at=_micros(batch["at"])).sort_values(["at", "event_id"])
+        held = [t for (t,) in self.allowed.get()]
         fine = []
-        for t in rows["at"].tolist():
-            held = [h for h in held if t - h < seconds * 1_000_000]
-            fine.append(len(held) < most)
+        for t in batch["at"].tolist():
+            held = [h for h in held if t - h < self.micros]
+            fine.append(len(held) < self.most)
             if fine[-1]:
                 held.append(t)
-        state.update((held,))
-        yield pd.DataFrame({by: [key[0]] * len(fine), "event_id": rows["event_id"].to_numpy(), "allowed": fine})
+        self.allowed.put([(t,) for t in held])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer((held[-1] + self.micros) // 1000 + 1)
+        yield pd.DataFrame({self.by: [key[0]] * len(fine), "event_id": batch["event_id"].to_numpy(), "allowed": fine})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.allowed.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class NegativeCache(StatefulProcessor):
+    """Until when a key is known to be missing; a timer forgets it."""
+
+    def __init__(self, key: str, micros: int):
+        self.key, self.micros = key, micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows))
+        batch = batch.assign(at=_micros(batch["at"])).sort_values(["at", "event_id"])
+        until = self.until.get()[0] if self.until.exists() else None
+        told = []
+        for t, held in zip(batch["at"].tolist(), batch["held"].tolist(), strict=True):
+            if held:
+                told.append("hit")
+            elif until is not None and t <= until:
+                told.append("missing")
+            else:
+                told.append("fetch")
+                until = t + self.micros
+        if until is not None:
+            self.until.update((until,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until // 1000 + 1)
+        yield pd.DataFrame({self.key: [key[0]] * len(told), "event_id": batch["event_id"].to_numpy(), "outcome": told})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, late: str) -> DataFrame:
+    """Timers and expiring state need the state store on RocksDB, which is set for the session's streams."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.withWatermark("at", late).groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, event_id long, {out}", "Append", "EventTime")
+
+
+def limited(events: DataFrame, by: str, at: str, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """by, event_id, allowed: a client's request is refused when ``most`` allowed ones lie less than ``seconds`` back (STM-3).
+
+    Requests are taken in the order of their times (then event_id) within a batch; a client's times and ids of one batch
+    are held at once, so a batch's files bound it. State: a client's allowed times that still count. It ends when the
+    watermark, ``late`` behind the greatest time, has passed them; requests that come later than that are dropped.
+    """
+    timed = events.select(by, "event_id", F.col(at).cast("timestamp").alias("at"))
+    return _with_state(timed, by, Limiter(by, most, seconds * 1_000_000), "allowed boolean", late)
+
+
+def looked_up(requests: DataFrame, held: DataFrame, key: str, at: str, seconds: int, late: str = "1 hour") -> DataFrame:
+    """key, event_id, outcome of each request (STM-4): ``hit`` if ``held`` (a table: key, each once) has an answer, else
+    ``fetch``, and ``missing`` for requests up to ``seconds`` after a fetch, which isn't made again so soon. State: a
+    missing key's end, forgotten when the watermark has passed it; lateness as in ``limited``."""
+    known = held.select(key, F.lit(True).alias("held"))
+    timed = requests.select(key, "event_id", F.col(at).cast("timestamp").alias("at")).join(known, key, "left")
+    return _with_state(timed.withColumn("held", F.coalesce("held", F.lit(False))), key, NegativeCache(key, seconds * 1_000_000), "outcome string", late)
 
-    timed = events.select(by, "event_id", F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
-    kind = timed.schema[by].dataType.simpleString()
-    return timed.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
+def fanned_out(stream: DataFrame, sinks: dict[str, str], key: list[str], scan: str | None = None) -> None:
+    """Each batch, without repeated keys, to several Parquet folders (SNK-2). A batch is computed once, for the first
+    folder; the others copy what that holds.
 
-def fanned_out(stream: DataFrame, sinks: dict[str, str], key: list[str]) -> None:
-    """Each batch to several Parquet folders (SNK-2). A batch that is run again after a failure replaces what it wrote, as
-    its number names its folder (STM-7)."""
-    spark, at = stream.sparkSession, f"{_shared(stream.sparkSession)}/fan-{uuid.uuid4().hex}"
+    ``scan`` names the checkpoint in ``spark.checkpoint.dir``, so a run that was ended goes on where it stopped when it is
+    started again under its name (STM-7): the batch that was open is written anew, in place of what it had written, as its
+    number names its folder. The first batch of a scan removes what other runs have left in the folders. Without a name
+    each call is a run of its own.
+    """
+    spark = stream.sparkSession
+    folder = shared_dir(spark).rpartition("/")[0]  # not this application's own, which ends with it
+    at = f"{folder}/fan-{scan or uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(key)
-        for path in sinks.values():
-            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        paths = [*sinks.values()]
+        if number == 0:
+            for path in paths:
+                files, gone = files_of(spark, path)
+                files.delete(gone, True)
+        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{paths[0]}/batch={number}")
+        for path in paths[1:]:
+            spark.read.schema(batch.schema).parquet(f"{paths[0]}/batch={number}").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
 
