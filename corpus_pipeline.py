@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import line_dedup, mixing, near_join, packing, quality_classifier
-from proofmill.llm.store import documents, written
+from proofmill.llm.store import discard, documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what each returns is stored in the shared folder."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of ``sf_dir``; what each returns is stored in the shared folder until the next one's stands."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

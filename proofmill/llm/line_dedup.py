@@ -60,11 +60,13 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORD
     gone = written(gone, "gone")
     discard(lines, spread)
     both = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and xxhash64(cast(d.text as string)) = g.txt"), "left")
-    out = F.coalesce(F.col("g.gone"), F.array().cast("array<int>"))
-    split = F.split(F.col("d.text"), "\n")
-    kept = F.when(F.size(out) == 0, F.col("d.text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(out, i)), "\n"))
-    cols = [kept.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return both.select(*cols, F.when(F.col("d.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size(out).cast("long").alias("n_removed"))
+    own = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"]).alias("own")
+    split = both.select(own, F.col("d.text").alias("text"), F.split(F.col("d.text"), "\n").alias("split"), F.coalesce(F.col("g.gone"), F.array().cast("array<int>")).alias("out"))
+    # Places that stay are found by a set and looked up one by one, so the work grows with the lines alone.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("out"))
+    kept = F.when(F.size("out") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("split", i)), "\n"))
+    cols = [kept.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return split.select(*cols, F.when(F.col("text").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"), F.size("out").cast("long").alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

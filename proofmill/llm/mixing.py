@@ -5,10 +5,11 @@ taken; the fractional parts are rounded by duels: two documents meet, and words
 other's, in a direction drawn at random (with the chances that keep each one's expected copies), until one of the two is
 integral; the other meets the next. What one loses in words the other wins, so a duel doesn't change the source's sum.
 Documents duel in bounded blocks of one source, dealt by hash, the largest first, so that what is left of a block, one
-fractional document at most, is a small one as a rule. It goes up a reduction tree of blocks until a source has one left,
-which chance rounds. Where that one is large, the words that its rounding wins or loses are settled with small documents
-of its source, which change by one copy. Chances come from hashes of the documents'
-ids and texts, so reruns agree.
+fractional document at most, is a small one as a rule. It goes up a reduction tree of blocks until a source has one left.
+Chance rounds that one too, and the words that its rounding wins or loses are settled with smaller documents of its
+source, which change by one copy; where these can settle one direction better than the other, it takes the former. So
+expected copies are kept by the duels alone: the last document of a source and those that settle it, a few times its words
+together, may deviate from theirs. Chances come from hashes of the documents' ids and texts, so reruns agree.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofmill.llm.store import documents, small, word_count, written
+from proofmill.llm.store import discard, documents, small, word_count, written
 
 #: Documents in a block; a block's fold is one row of one task.
 BLOCK = 256
@@ -101,26 +102,47 @@ def _copies(sized: DataFrame, seed: int, most: int) -> tuple[DataFrame, DataFram
 
     parts = [whole, sized.where("size = 0").withColumn("copies", F.lit(0).cast("long")).select(*columns)]
 
-    left = items
+    left, levels = items, []
     while True:
         level = written(_round(_dealt(left, seed), ["source", "block"], seed), "round")
+        levels.append(level)
         parts.append(level.select("source", F.explode("done").alias("d")).select("source", "d.size", "d.u", "d.row", "d.copies"))
         left = level.where("held is not null").select("source", F.col("held").alias("item"))
         seed += 1
         if not left.groupBy("source").count().where("count > 1").limit(1).count():
             break
-    last = F.col("item.whole") + F.when(_chance(F.lit(seed), F.col("item.u")) < F.col("item.p"), 1).otherwise(0)
-    parts.append(left.select("source", "item.size", "item.u", "item.row", last.cast("long").alias("copies")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return _settled(written(rows, "rounded"), goals, shares), goals
+    rows, left = written(rows, "rounded"), written(left.select("source", "item.*"), "open")
+    discard(*levels)
+    last = written(_last(rows, left, seed), "last")
+    both = written(rows.unionByName(last.select(*columns)), "decided")
+    discard(rows, left, last)
+    out = written(_settled(both, goals, shares), "copies")
+    discard(both)
+    return out, goals
+
+
+def _last(rows: DataFrame, left: DataFrame, seed: int) -> DataFrame:
+    """Copies of the one document that each source has left: source, size, u, row, copies. Up or down by chance, if smaller
+    documents that are decided (``rows``) have enough words to settle either; else in the direction that leaves less."""
+    one = left.withColumns({"above": F.col("size") * (1 - F.col("p")), "below": F.col("size") * F.col("p")})
+    near = rows.alias("a").join(small(one).alias("b"), F.expr("a.source <=> b.source"))
+    give = (F.col("a.copies") == F.col("whole") + 1) & (F.col("a.size") <= F.col("above"))
+    take = (F.col("a.copies") == F.col("whole")) & (F.col("a.size") <= F.col("below"))
+    room = near.where("a.size > 0").groupBy("a.source").agg(*[F.sum(F.when(c, F.col("a.size")).otherwise(0)).alias(n) for c, n in ((give, "give"), (take, "take"))])
+    both = one.alias("a").join(room.alias("b"), F.expr("a.source <=> b.source"), "left")
+    over, under = (F.greatest(F.col(g) - F.coalesce(F.col(r), F.lit(0)), F.lit(0)) for g, r in (("above", "give"), ("below", "take")))
+    chance = _chance(F.lit(seed), F.col("u")) < F.col("p")
+    up = F.when(over < under, True).when(over > under, False).otherwise(chance)
+    return both.select("a.source", "size", "u", "row", (F.col("whole") + F.when(up, 1).otherwise(0)).cast("long").alias("copies"))
 
 
 def _settled(rows: DataFrame, goals: DataFrame, shares: DataFrame) -> DataFrame:
     """``rows`` with the words that a source has too many or too few settled with documents that are no larger, the
-    smallest first. Of a source documents of about three times these words are looked at, chosen by hash, so their number
-    doesn't grow with the source."""
+    largest that still fits first. Of a source documents of about three times these words are looked at, chosen by hash, so
+    their number doesn't grow with the source."""
     same = F.expr("a.source <=> b.source")
     taken = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     gap = goals.alias("a").join(taken.alias("b"), same).join(shares.alias("c"), F.expr("a.source <=> c.source")).where(F.col("p") >= _EPS)
@@ -129,9 +151,12 @@ def _settled(rows: DataFrame, goals: DataFrame, shares: DataFrame) -> DataFrame:
     open_ = rows.alias("a").join(small(gaps).alias("b"), same).where((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("copies") == from_)).select("a.*", "gap")
     room = written(open_.groupBy("source").agg(F.sum("size").alias("room")), "room")
     some = open_.alias("a").join(small(room).alias("b"), same).where(_chance(F.lit(-1), F.col("u")) * F.col("room") <= 3 * F.abs("gap")).select("a.*")
-    upto = Window.partitionBy("source").orderBy("size", "u", "row").rowsBetween(Window.unboundedPreceding, 0)
-    moved = some.withColumn("sum", F.sum("size").over(upto)).where(F.col("sum") <= F.abs("gap")).select("row", F.signum("gap").cast("long").alias("more"))
-    both = rows.join(written(moved, "moved"), "row", "left")
+    listed = some.groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "u", "row")), asc=False).alias("docs"))
+    start = F.struct(F.abs("gap").alias("left"), F.array().cast("array<bigint>").alias("rows"))
+    fits = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.array_append(s["rows"], x["row"]).alias("rows"))).otherwise(s)
+    chosen = listed.select("gap", F.explode(F.aggregate("docs", start, fits, lambda s: s["rows"])).alias("row"))
+    moved = written(chosen.select("row", F.signum("gap").cast("long").alias("more")), "moved")
+    both = rows.join(small(moved), "row", "left")
     return both.select("source", "size", "row", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
 
 

@@ -30,7 +30,7 @@ LENGTH = 20
 #: Shorter levels before the last.
 LEVELS = 2
 _KEPT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-#: A row of the input: its id (null least), and a 31-bit hash of its text, which tells rows of one id apart.
+#: A row of the input: its id (null least), and a 63-bit hash of its text, which tells rows of one id apart.
 _ROW = ["id", "txt"]
 
 
@@ -85,17 +85,17 @@ def _anchors(docs: DataFrame, length: int, done: list[int], part: int) -> DataFr
                 of = doc[at]
                 yield pa.RecordBatch.from_arrays([pa.array(parts[at].view(np.int64)), *(pa.array(k[a:b][of]) for k in keys)], ["h", *_ROW])
 
-    return docs.mapInArrow(run, "h long, id long, txt int")
+    return docs.mapInArrow(run, "h long, id long, txt long")
 
 
-_RUN = "id long, txt int, start int, n int, w1 long, w2 int, hashes array<long>, seconds array<int>"
+_RUN = "id long, txt long, start int, n int, w1 long, w2 int, hashes array<long>, seconds array<int>"
 
 
 def _runs(docs: DataFrame, length: int, done: list[int]) -> DataFrame:
     """Runs of candidates: the row, start, n, w1 and w2 (hashes of the run), and two hashes for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in _RUN.split(", ")]
         for batch in batches:
             raws = raw_texts(batch.column("text"))
@@ -148,20 +148,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = written(_runs(left if len(tables) == len(done) else docs.where("false").withColumns({f"known{i}": F.array().cast("array<bigint>") for i in range(len(done))}), length, done), "runs")
     discard(*tables)
 
-    # A place in the order of ids: the text's hash and the start in one number keep the rows narrow.
-    place, run = F.struct("id", (F.shiftleft(F.col("txt").cast("long"), 32) + F.col("start")).alias("at")), ["w1", "w2", "n"]
+    place, run = F.struct(*_ROW, "start"), ["w1", "w2", "n"]
     firsts = written(runs.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("count")).where("count > 1").select(*run, "first"), "first-runs")
     late = written(runs.drop("hashes", "seconds").join(firsts, run).where(place > F.col("first")).select(*_ROW, "start", "n"), "late-runs")
     heads = runs.join(late.select(*_ROW, "start"), [*_ROW, "start"], "left_anti")
     both = F.posexplode(F.arrays_zip("hashes", "seconds")).alias("i", "h")
-    at = (F.shiftleft(F.col("txt").cast("long"), 32) + F.col("start") + F.col("i")).alias("at")
-    windows = heads.select(*_ROW, "start", both).select("id", at, F.col("h.hashes").alias("h"), F.col("h.seconds").alias("h2"))
+    windows = heads.select(*_ROW, "start", both).select(*_ROW, (F.col("start") + F.col("i")).alias("start"), F.col("h.hashes").alias("h"), F.col("h.seconds").alias("h2"))
     windows = written(windows, "windows")
     discard(runs, firsts)
-    there = F.struct("id", "at")
-    first = written(windows.groupBy("h", "h2").agg(F.min(there).alias("first"), F.count("*").alias("count")).where("count > 1").select("h", "h2", "first"), "first-windows")
-    single = windows.join(first, ["h", "h2"]).where(there > F.col("first"))
-    single = single.select("id", F.shiftright("at", 32).cast("int").alias("txt"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("start"), F.lit(1).alias("n"))
+    first = written(windows.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("count")).where("count > 1").select("h", "h2", "first"), "first-windows")
+    single = windows.join(first, ["h", "h2"]).where(place > F.col("first")).select(*_ROW, "start", F.lit(1).alias("n"))
     found = written(late.unionByName(single), "repeats")
     discard(late, windows, first)
     return found
@@ -177,7 +173,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = plain.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.hash("text").bitwiseAND((1 << 31) - 1).alias("txt"), "text")
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)  # rows without an id stand before those of the least one
+    plain = plain.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.when(F.col("doc_id").isNull(), -1 - half).otherwise(half).alias("txt"), "text")
     ranges = repeats(plain.drop("doc_id").where("text is not null"), length).groupBy(*_ROW).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
