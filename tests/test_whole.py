@@ -188,14 +188,3 @@ def test_section_starts(spark):
     frames = spark.createDataFrame(titles, "doc string, i int, title string"), spark.createDataFrame(pages, "doc string, page int, lines array<string>")
     got = claims.section_starts(*frames, "doc", "i", "title", "page", "lines", after=3).collect()
     assert {(g.doc, g.i, g.title, g.start) for g in got} == want and len(got) == len(want) > 8
-
-
-def test_toxicity_windows():
-    """A phrase of up to half a window lies whole in some window, wherever it starts."""
-    from proofmill.llm.recurrent import WINDOW, Words
-
-    for n in (1, 16, 32, 33, 48, 49, 100, 257):
-        start, length, _ = Words([" ".join(f"w{i}" for i in range(n)).encode()]).windows(1)
-        spans = list(zip(start.tolist(), length.tolist(), strict=True))
-        size = min(n, WINDOW // 2)
-        assert all(any(s <= i and i + size <= s + m for s, m in spans) for i in range(n - size + 1))
