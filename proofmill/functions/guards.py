@@ -90,6 +90,21 @@ def mask_aadhaar(text: Column) -> Column:
     return F.pandas_udf(_mask_aadhaar, "string")(text)
 
 
+def is_checked(number: Column) -> Column:
+    """Whether a number's last digit is its check digit, in expressions alone."""
+    group = F.array(*[F.lit(_d(a, b)) for a in range(10) for b in range(10)])
+    steps = F.array(*[F.lit(_p(i, d)) for i in range(8) for d in range(10)])
+    digits = F.reverse(F.split(F.regexp_replace(number, r"\D", ""), ""))
+    placed = F.transform(digits, lambda x, i: F.get(steps, i % 8 * 10 + x.cast("int")))
+    return F.aggregate(placed, F.lit(0), lambda c, p: F.get(group, c * 10 + p)) == 0
+
+
+def mask_checked(text: Column) -> Column:
+    """As ``mask_aadhaar``, for texts inside arrays, where no Python function can be called."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(AADHAAR), F.lit(0)))
+    return F.aggregate(found, text, lambda t, m: F.when(is_checked(m), F.replace(t, m, F.lit("[aadhaar]"))).otherwise(t))
+
+
 def mask_pii(text: Column, aadhaar: bool = True) -> Column:
     """The text with personal identifiers masked, in the order of the rules."""
     out = mask_aadhaar(text) if aadhaar else text

@@ -170,3 +170,23 @@ def scrub(line: Column) -> Column:
     """A journal's line with escape codes, keys and personal identifiers gone, or null if it is no JSON any more (JSN-2, SNK-8)."""
     safe = guards.mask_pii(guards.redact(guards.clean_text(line)["text"]))
     return F.when(F.try_parse_json(safe).isNotNull(), safe)
+
+
+def scrub_values(line: Column) -> Column:
+    """A line of JSON with each string value scrubbed by itself, however deep it lies (JSN-1); keys, numbers and the order
+    stay. Null if the line is no JSON.
+
+    The line is cut at its strings; one with a colon behind it is a key. A value is decoded, scrubbed and encoded again, so
+    a pattern neither sees escapes nor reaches into the next string. (Escaped backslashes and quotes are held as control
+    characters meanwhile, which can't stand in JSON as they are.)
+    """
+    bare = lambda x: F.replace(F.replace(x, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    held = F.replace(F.replace(line, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    pieces = F.regexp_extract_all(held, F.lit(r'"[^"]*+"(?:\s*+:)?+|[^"]++'), F.lit(0))
+
+    def piece(x: Column) -> Column:
+        text = F.from_json(F.concat(F.lit("["), bare(x), F.lit("]")), "array<string>")[0]
+        safe = guards.mask_pii(guards.mask_checked(guards.redact(text)), aadhaar=False)
+        return F.when(x.startswith('"') & ~x.endswith(":"), F.regexp_extract(F.to_json(F.array(safe)), r"(?s)^\[(.*)\]$", 1)).otherwise(bare(x))
+
+    return F.when(F.try_parse_json(line).isNotNull(), F.array_join(F.transform(pieces, piece), ""))

@@ -1,10 +1,13 @@
 """Streams: state that expires, a cache of what is missing, a fan-out that goes on where it was ended."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from proofmill.functions import guards, requests
+from proofmill.sources import journals, replay
 from proofmill.streaming import journal
 
 
@@ -89,3 +92,49 @@ def test_fan_out_resumes(spark, tmp_path):
     assert part < 40 and seen.value - before == 40 - part
     journal.fanned_out(fresh(), sinks, ["event_id"], name)  # nothing is left to do
     assert spark.read.parquet(sinks["b"]).count() == 40
+
+
+def events_of(n):
+    return [(f"case-{i % 3}", 1, f"s{i % 3}-{i:06d}", None, f"s{i % 3}", i, "stage", '{"q":"call 9876543210","n":1}') for i in range(n)]
+
+
+def test_bundles(spark, tmp_path):
+    """Bundles read the same as a table and as a stream; broken lines come with their rule."""
+    events = spark.createDataFrame(events_of(30), f"case STRING, {journals.EVENT}")
+    cards = spark.createDataFrame([("case-0", '{"t":"PAN ABCDE1234F"}'), ("case-1", "{}"), ("../x", "{}")], "case string, card string")
+    replay.write_bundles(events, cards, "case", f"{tmp_path}/home")
+    home = f"{tmp_path}/home/events"
+    read = replay.read_bundles(spark, home)
+    assert {(r.case, r["count"]) for r in read.groupBy("case").count().collect()} == {("case-0", 10), ("case-1", 10)}
+    assert read.where("rule is null").count() == 20 and read.where("data like '%9876543210%'").count() == 0
+    assert "[pan]" in spark.read.text(f"{tmp_path}/home/cards/case=case-0").first().value
+
+    bad = tmp_path / "old" / "case-9"
+    bad.mkdir(parents=True)
+    fine = '{"v":1,"id":"s-000001","scan":"s","t_ns":5,"type":"stage","data":{"a":[1,"x"]}}'
+    lines = [fine, "{", fine.replace('"v":1', '"v":"one"'), fine.replace('"type":"stage",', ""), fine.replace('"s-', '"t-'), "", fine.replace('"x"', '"' + "x" * 5000 + '"')]
+    (bad / "events.jsonl").write_text("\n".join(lines))
+    got = [r.rule for r in replay.read_bundles(spark, f"{tmp_path}/old").collect()]
+    assert got == [None, "json", "schema", "schema", "id", "size"]
+    assert replay.playable(replay.read_bundles(spark, f"{tmp_path}/old")).count() == 0 and replay.playable(read).count() == 20
+    streamed = journal.drained(replay.stream_bundles(spark, home))
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, read.collect()))
+
+
+def scrubbed(value, one):
+    if isinstance(value, dict):
+        return {k: scrubbed(v, one) for k, v in value.items()}
+    return [scrubbed(v, one) for v in value] if isinstance(value, list) else one(value) if isinstance(value, str) else value
+
+
+def test_scrub_values(spark):
+    """Each nested string by itself, keys untouched, against a walk over the parsed value."""
+    good = "2345 6789 012" + str(guards.check_digit("23456789012"))
+    strings = ["", "plain", "PAN ABCDE1234F", 'say "hi" \\ back\\"', "https://x/?api_key=zz", "tab\there\nline é漢", "call 9876543210", f"no {good} and 2345 6789 0123", "\\\\", 'a":', "bearer"]
+    values = [{"ABCDE1234F": s, "list": [s, 1, None, [True, {"deep": s, "n": 12345678901234567890}]], "end": t} for s, t in zip(strings, strings[1:] + [""], strict=True)] + [["x", "abc@d.example"], {}, [], "only a string", 5, None]
+    lines = [json.dumps(v, ensure_ascii=e) for v in values for e in (True, False)] + ["{", "not json"]
+    got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, line string").orderBy("i").select(requests.scrub_values(F.col("line")).alias("x")).collect()]
+    safe = {s: r for s, r in spark.createDataFrame([(s,) for s in {*strings, "x", "abc@d.example", "only a string"}], "s string").select("s", guards.mask_pii(guards.redact(F.col("s")))).collect()}
+    assert got[-2:] == [None, None]
+    for line, x in zip(lines[:-2], got[:-2], strict=True):
+        assert json.loads(x) == scrubbed(json.loads(line), safe.__getitem__), line
