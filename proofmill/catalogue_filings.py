@@ -6,13 +6,17 @@ price choose and as long as its price says; pages print what the order's columns
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofmill.catalogue import QUERIES, SQL, query
-from proofmill.functions import names
+from proofmill.functions import names, requests
 from proofmill.operators import extraction, litigation, sections, vendors
 from proofmill.plans import rules
+from proofmill.sources import replay
+from proofmill.sources.stored import shared_dir
 from proofmill.streaming import journal
 
 
@@ -288,3 +292,46 @@ def stream_lookups(events, table):
     held = table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     answers = table("events").join(held, "user_id", "left_semi").select(F.concat("event_type", F.col("user_id").cast("string")).alias("k")).distinct()
     return journal.looked_up(events.withColumn("k", F.concat("event_type", F.col("user_id").cast("string"))), answers, "k", "ts", 86_400, "3650 days")
+
+
+@query("""SELECT conv_id, turn, text || ' call [phone]' AS told, 'PAN [pan] of ' || left(role, 3) AS deep, role AS own, CAST(turn AS BIGINT) AS n, 'https://x.example/?api_key=[redacted]' AS url FROM conversations""")
+def scrubbed_values(table):
+    """Turns as nested JSON whose strings are scrubbed one by one, keys untouched (JSN-1)."""
+    t = F.struct(F.concat("text", F.lit(" call 9876543210")).alias("told"), F.array(F.lit("x"), F.concat(F.lit("PAN ABCDE1234F of "), F.left("role", F.lit(3)))).alias("list"), F.col("turn").alias("n"), F.lit("https://x.example/?api_key=zz9").alias("url"))
+    line = F.to_json(F.struct(F.struct(t.alias("ABCDE1234F")).alias("deep"), "role"))
+    at = lambda p: F.get_json_object("line", p)
+    lines = table("conversations").select("conv_id", "turn", requests.scrub_values(line).alias("line"))
+    return lines.select("conv_id", "turn", at("$.deep.ABCDE1234F.told").alias("told"), at("$.deep.ABCDE1234F.list[1]").alias("deep"), at("$.role").alias("own"), at("$.deep.ABCDE1234F.n").cast("long").alias("n"), at("$.deep.ABCDE1234F.url").alias("url"))
+
+
+def _bundles(table):
+    """The events of each user as a case's bundle in the shared folder; some lines break a rule."""
+    e = table("events")
+    k = F.col("event_id")
+    scan = _txt("s", F.col("user_id"))
+    type_ = F.when(k % 13 != 0, F.col("event_type"))
+    id_ = F.concat(F.when(k % 17 == 0, F.lit("other")).otherwise(scan), F.lit("-"), F.lpad(k.cast("string"), 6, "0"))
+    data = F.when(k % 19 == 0, F.concat(F.lit('{"note":"'), F.repeat(F.lit("long "), 1000), F.lit('"}'))).otherwise(F.col("props"))
+    events = e.select(_txt("case-", F.col("user_id")).alias("case"), F.lit(1).alias("v"), id_.alias("id"), F.lit(None).cast("string").alias("parent"), scan.alias("scan"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_ns"), type_.alias("type"), data.alias("data"))
+    cards = e.select("user_id").distinct().where("user_id % 5 <> 0").select(_txt("case-", F.col("user_id")).alias("case"), F.lit('{"lines":[]}').alias("card"))
+    home = f"{shared_dir(e.sparkSession)}/bundles-{uuid.uuid4().hex}"
+    replay.write_bundles(events, cards, "case", home)
+    return e.sparkSession, f"{home}/events"
+
+
+_RULES = "CASE WHEN event_id % 19 = 0 THEN 'size' WHEN event_id % 13 = 0 THEN 'schema' WHEN event_id % 17 = 0 THEN 'id' END"
+
+
+@query(f"SELECT 'case-' || user_id AS \"case\", event_id, {_RULES} AS rule, CASE WHEN {_RULES} IS NULL THEN event_type END AS type FROM events WHERE user_id % 5 <> 0")
+def replay_bundles(table):
+    """Events of written bundles, with the rule that a line breaks (SRC-8, SNK-8)."""
+    read = replay.read_bundles(*_bundles(table))
+    event = F.regexp_extract("line", r'"id":"[^"]*-(\d+)"', 1).cast("long")
+    return read.select("case", event.alias("event_id"), "rule", F.when(F.col("rule").isNull(), F.col("type")).alias("type"))
+
+
+@query(f"SELECT 'case-' || user_id AS \"case\", count(*) AS n, count(*) FILTER ({_RULES} IS NOT NULL) AS refused FROM events WHERE user_id % 5 <> 0 GROUP BY 1")
+def replay_stream(table):
+    """The same bundles read as a stream: lines and refused lines of each case (SRC-8)."""
+    read = journal.drained(replay.stream_bundles(*_bundles(table)))
+    return read.groupBy("case").agg(F.count("*").alias("n"), F.count_if(F.col("rule").isNotNull()).alias("refused"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from proofmill.operators.ranks import percentiles, ranked
+
 
 def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
@@ -31,9 +33,13 @@ def hit_rate(uses: DataFrame) -> DataFrame:
 
 
 def latency(uses: DataFrame, *by: str, digits: int = 3) -> DataFrame:
-    """Exact p50 and p95 of the uncached, inclusive."""
-    p = lambda q: F.round(F.coalesce(F.percentile("latency", q), F.lit(0.0)), digits)
-    return uses.where("not cached").groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    """Exact p50 and p95 of the uncached, inclusive, by ranks over all rows: a group may be as large as the table. 0 for a
+    group without latencies."""
+    fresh = uses.where("not cached").select(*by, "latency")
+    found = percentiles(fresh, [*by], "latency", {"p50": 0.5, "p95": 0.95})
+    if by:
+        found = fresh.select(*by).distinct().alias("g").join(found.alias("f"), F.expr(" and ".join(f"g.{c} <=> f.{c}" for c in by)), "left").select(*[F.col(f"g.{c}") for c in by], "p50", "p95")
+    return found.select(*by, *[F.round(F.coalesce(p, F.lit(0.0)), digits).alias(p) for p in ("p50", "p95")])
 
 
 def insert_ignore(held: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -82,11 +88,10 @@ def best_key(keys: DataFrame, pool: str, reserve: int) -> DataFrame:
 def timings(runs: DataFrame, *by: str) -> DataFrame:
     """Least, median and greatest of each benchmark in readable units (AGG-19). ``runs``: seconds."""
     told = lambda c: F.when(c < 1e-3, F.format_string("%.1f µs", c * 1e6)).when(c < 1, F.format_string("%.1f ms", c * 1e3)).otherwise(F.format_string("%.2f s", c))
-    stats = runs.groupBy(*by).agg(F.min("seconds").alias("least"), F.percentile("seconds", 0.5).alias("median"), F.max("seconds").alias("most"))
+    stats = percentiles(runs, [*by], "seconds", {"least": 0.0, "median": 0.5, "most": 1.0})
     return stats.select(*by, *[told(F.col(c)).alias(c) for c in ("least", "median", "most")])
 
 
 def sample_runs(files: DataFrame, name: str, shards: int, shard: int) -> DataFrame:
-    """Every shards-th file in the order of their digests (SRT-9)."""
-    place = F.row_number().over(Window.orderBy(F.sha2(name, 256)))
-    return files.withColumn("place", place).where((F.col("place") - 1) % shards == shard)
+    """Every shards-th file in the order of their digests (SRT-9); the order is told by ranges, so no task sees all files."""
+    return ranked(files, F.sha2(name, 256), name="place").where((F.col("place") - 1) % shards == shard)
