@@ -22,6 +22,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def put(f):
+        assert f.__name__ not in QUERIES, f"two queries of the name {f.__name__}"
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         QUERIES[f.__name__].__doc__ = f.__doc__
         if sql:

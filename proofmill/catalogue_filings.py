@@ -133,7 +133,7 @@ def extracted_claims(table):
 
 
 @query(f"{_STATED} SELECT task, count(*) FILTER (verdict = 'kept') AS kept, count(*) FILTER (verdict <> 'kept') AS dropped, count(DISTINCT o_custkey) AS n_filings FROM judged GROUP BY 1")
-def extraction_tallies(table):
+def claim_tallies(table):
     """Claims kept and dropped by task (AGG-17)."""
     kept = F.col("verdict") == "kept"
     return _claims(table).groupBy("task").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), F.countDistinct("o_custkey").alias("n_filings"))

@@ -6,8 +6,10 @@ An order is a quotation of a vendor whose registry pages, listing and legal page
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofmill.catalogue import query
+from proofmill.operators import analyst
 from proofmill.plans import findings
 
 
@@ -111,3 +113,89 @@ def finding_letters(table):
     """Neutral letters about what doesn't match, with pages and first sources (SNK-10)."""
     lines = findings.vendor_signals(_vendors(table), ["o_orderkey"], F.col("cutoff")).withColumn("company", _txt("Issuer ", F.col("o_orderkey")))
     return findings.letters(lines, "o_orderkey", "company", "this library", _DISCLAIMER)
+
+
+def _analyst_lines(table):
+    """Lines of cards: an order's items, numbered."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    item = F.col("l_linenumber") % 4
+    check = F.when(item == 1, "banker").when(item == 2, "site").otherwise("vendor")
+    status = F.when(F.col("l_quantity") > 40, "inconsistent").when(F.col("l_quantity") < 5, "unverified").otherwise("consistent")
+    return table("lineitem").select(
+        "l_orderkey", n.alias("n"), check.alias("check"), _txt("R", item).alias("rule"), status.alias("status"), _txt("Capital of vendor number ", F.col("l_suppkey"), " was read").alias("text"),
+        F.lit("").alias("observed"), _txt("https://line.example/", F.col("l_partkey")).alias("url"), F.lit("").alias("proof"),
+    )
+
+
+def _replies(table):
+    """A proposed answer to a question about each order's card."""
+    k, first = F.col("l_orderkey"), F.col("lines")[0]
+    way, supplier = k % 7, F.regexp_extract(first["text"], r"(\d+)", 1)
+    text = (
+        F.when(way == 0, F.concat(F.lit("The capital of vendor number "), supplier, F.lit(" was read [L1], line 2 agrees.")))
+        .when(way == 1, F.concat(F.lit("The vendor has 9"), supplier, F.lit(" crore, as L1 says.")))
+        .when(way == 2, "It looks like a scam [L1].")
+        .when(way == 3, "The weather is fine today.")
+        .when(way == 4, "The card does not say who paid.")
+        .when(way == 5, F.concat(F.lit("Capital of vendor number "), supplier, F.lit(" was read.")))
+    )
+    question = F.when(k % 3 == 0, "Is the factory fine?").when(k % 3 == 1, "Why is it flagged?").otherwise("Who is the supplier?")
+    cites = F.when(way.isin(1, 2), F.array(F.lit(" l1 "), F.lit("L99"), F.lit("S1"))).otherwise(F.array().cast("array<string>"))
+    hits = F.array(F.struct(_txt("https://hit.example/", k).alias("url"), F.lit("seven of 7").alias("text")))
+    held = analyst.cards(_analyst_lines(table), "l_orderkey")
+    return held.select("l_orderkey", "lines", F.lit(1).alias("ask"), question.alias("question"), text.alias("text"), cites.alias("cites"), hits.alias("hits"), F.array(F.lit("A note of 2024")).alias("context"))
+
+
+_CARDS = """WITH l AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS n, CASE l_linenumber % 4 WHEN 1 THEN 'banker' WHEN 2 THEN 'site' ELSE 'vendor' END AS chk, 'R' || l_linenumber % 4 AS rule,
+    CASE WHEN l_quantity > 40 THEN 'inconsistent' WHEN l_quantity < 5 THEN 'unverified' ELSE 'consistent' END AS status, l_suppkey AS s, 'https://line.example/' || l_partkey AS url FROM lineitem),
+  c AS (SELECT l_orderkey AS k, l_orderkey % 7 AS way, count(*) AS last, min(s) FILTER (n = 1) AS s, min(url) FILTER (n = 1) AS url1, min(url) FILTER (n = 2) AS url2, bool_or(chk = 'vendor') AS vendor, bool_or(chk = 'site') AS site, bool_or(status = 'inconsistent') AS bad FROM l GROUP BY 1),
+  same AS (SELECT k, min(l.n) AS n, min_by(l.url, l.n) AS url FROM c JOIN l ON l.l_orderkey = c.k AND l.s = c.s GROUP BY 1),
+  settled AS (SELECT c.*, CASE way WHEN 0 THEN 'The capital of vendor number ' || c.s || ' was read, line 2 agrees.' WHEN 1 THEN 'The vendor has 9' || c.s || ' crore, as L1 says.' WHEN 2 THEN 'It looks like a scam.' WHEN 3 THEN 'The weather is fine today.' WHEN 4 THEN 'The card does not say who paid.' WHEN 5 THEN 'Capital of vendor number ' || c.s || ' was read.' END AS shown,
+    CASE way WHEN 6 THEN 'no_answer' WHEN 2 THEN 'wording' WHEN 3 THEN 'uncited' WHEN 1 THEN 'numbers' WHEN 0 THEN CASE WHEN last >= 2 AND c.s > 10 AND (SELECT l.s FROM l WHERE l.l_orderkey = c.k AND l.n = 2) <> c.s THEN 'numbers' END END AS refusal,
+    CASE WHEN way = 0 THEN CASE WHEN last >= 2 THEN 'L2 ' || url2 ELSE 'L1 ' || url1 END WHEN way IN (1, 2) THEN 'L1 ' || url1 || ';S1 https://hit.example/' || c.k WHEN way = 5 THEN 'L' || same.n || ' ' || same.url ELSE '' END AS cited FROM c JOIN same USING (k))"""
+
+
+@query(f"{_CARDS} SELECT k AS l_orderkey, shown, refusal, cited FROM settled")
+def settled_answers(table):
+    """Proposed answers that may be shown: references that exist or lines that hold every sentence, wording, numbers that
+    the sources state (2.13, SET-9, STR-21, JN-15, MTH-11)."""
+    told = F.array_join(F.transform("cited", lambda c: F.concat(c["ref"], F.lit(" "), c["url"])), ";")
+    return analyst.settled(_replies(table)).select("l_orderkey", "shown", "refusal", F.when(F.col("text").isNull(), "").otherwise(told).alias("cited"))
+
+
+_CUES = {"vendor": ["vendor", "supplier"], "site": ["factory", "premises"], "banker": ["banker", "lead"]}
+_FLAGS = ["why", "flagged"]
+
+_SPOKEN = f"""{_CARDS}, score AS (SELECT l.*, CASE k % 3 WHEN 0 THEN 3 * CAST(chk = 'site' AS INT) WHEN 1 THEN 3 * CAST(status = 'inconsistent' AS INT) ELSE 3 * CAST(chk = 'vendor' AS INT) END AS score FROM l JOIN c ON c.k = l.l_orderkey),
+  pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, n) AS r FROM score WHERE score > 0) WHERE r <= 3),
+  said AS (SELECT l_orderkey AS k, 'From this card:' || chr(10) || string_agg('line ' || n || ', ' || CASE status WHEN 'consistent' THEN 'checks out' WHEN 'inconsistent' THEN 'doesn''t match' ELSE 'couldn''t find' END || ': Capital of vendor number ' || s || ' was read', chr(10) ORDER BY r) AS text, string_agg('L' || n, ',' ORDER BY r) AS refs FROM pick GROUP BY 1),
+  spoken AS (SELECT c.k, CASE WHEN k % 3 = 0 AND NOT site THEN 'This card has no line about the company''s premises: the scan found nothing it could check there.' WHEN k % 3 = 2 AND NOT vendor THEN 'This card has no line about the vendor: the scan found nothing it could check there.'
+    WHEN said.text IS NOT NULL THEN said.text WHEN k % 3 = 1 THEN 'No line on this card fails to match. Lines marked couldn''t find are gaps, not findings.' END AS text, CASE WHEN (k % 3 = 0 AND NOT site) OR (k % 3 = 2 AND NOT vendor) THEN '' ELSE coalesce(said.refs, '') END AS refs FROM c LEFT JOIN said USING (k))"""
+
+
+def _spoken(table):
+    lines = _analyst_lines(table)
+    return analyst.from_card(_replies(table), lines, "l_orderkey", "ask", _CUES, _FLAGS)
+
+
+@query(f"{_SPOKEN} SELECT k AS l_orderkey, text, refs FROM spoken")
+def card_answers(table):
+    """What a card alone answers: absent topics, the lines that were asked for with their marks, or that none is flagged (2.13, SET-8, SRT-3)."""
+    return _spoken(table).select("l_orderkey", "text", F.array_join("refs", ",").alias("refs"))
+
+
+@query(f"""{_SPOKEN}, r AS (SELECT s.k, s.bad, s.site, s.vendor, CASE WHEN refusal IS NULL THEN 'agent' ELSE 'evidence' END AS mode, CASE WHEN refusal IS NULL THEN shown ELSE p.text END AS text, CASE WHEN refusal IS NULL THEN CASE WHEN way IN (0, 5) THEN [CAST(regexp_extract(cited, 'L(\\d+)', 1) AS INT)] ELSE [] END ELSE CASE WHEN refs = '' THEN [] ELSE list_transform(string_split(refs, ','), lambda x: CAST(substr(x, 2) AS INT)) END END AS ns FROM settled s JOIN spoken p USING (k)),
+  g AS (SELECT r.k, mode, text, ns, bad, site, vendor, coalesce(bool_or(chk = 'site') FILTER (list_contains(ns, n)), false) AS has_site, coalesce(bool_or(chk = 'vendor') FILTER (list_contains(ns, n)), false) AS has_vendor, list_distinct(list(rule) FILTER (status = 'inconsistent')) AS flagged, list_distinct(list(rule) FILTER (list_contains(ns, n))) AS told FROM r JOIN l ON l.l_orderkey = r.k GROUP BY ALL)
+  SELECT mode, count(*) AS n, count(*) FILTER (CASE k % 3 WHEN 0 THEN CASE WHEN site THEN has_site ELSE contains(text, 'no line about') END WHEN 1 THEN CASE WHEN bad THEN list_has_all(coalesce(told, []), flagged) ELSE regexp_matches(text, '(?i)\\bno line\\b') OR len(ns) > 0 END ELSE CASE WHEN vendor THEN has_vendor ELSE contains(text, 'no line about') END END) AS hits,
+    count(*) FILTER (len(ns) > 0 OR contains(lower(text), 'no line')) AS grounded, count(*) AS clean, count(*) FILTER (mode = 'agent') AS agent, CAST(sum(k % 2) AS BIGINT) AS searches, CAST(sum(k % 5) AS BIGINT) AS credits FROM g GROUP BY 1""")
+def analyst_scores(table):
+    """Replies, the model's where they may be shown and the card's elsewhere, against the lines expected of them (AGG-18)."""
+    k = F.col("l_orderkey")
+    own = analyst.settled(_replies(table)).select("l_orderkey", "lines", "refusal", "shown", "cited", "hits")
+    both = own.join(_spoken(table), "l_orderkey")
+    kept = F.col("refusal").isNull()
+    replies = both.select(
+        F.when(kept, "agent").otherwise("evidence").alias("mode"), F.when(kept, F.col("shown")).otherwise(F.col("text")).alias("text"), "lines", F.when(kept, F.col("cited")).otherwise(analyst.resolved(F.col("refs"), F.col("lines"), F.col("hits"))).alias("cited"),
+        F.when(k % 3 == 0, "site").when(k % 3 == 1, "flagged").otherwise("vendor").alias("expects"), (k % 2).alias("searches"), (k % 5).alias("credits"),
+    )
+    return analyst.scores(replies, "mode")
