@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofmill.catalogue import query
-from proofmill.operators import analyst
+from proofmill.functions import money
+from proofmill.operators import analyst, claims, litigation, sections
 from proofmill.plans import findings
+from proofmill.sources import journals
 
 
 def _txt(*parts):
@@ -199,3 +201,63 @@ def analyst_scores(table):
         F.when(k % 3 == 0, "site").when(k % 3 == 1, "flagged").otherwise("vendor").alias("expects"), (k % 2).alias("searches"), (k % 5).alias("credits"),
     )
     return analyst.scores(replies, "mode")
+
+
+@query("""WITH q AS (SELECT l_orderkey, l_suppkey % 20 AS v, l_quantity < 3 AS unread, CAST(round(l_extendedprice * 100) AS BIGINT) AS paise, struct_pack(a := l_linenumber, b := l_partkey, c := l_suppkey, d := l_extendedprice) AS pos FROM lineitem),
+  b AS (SELECT l_orderkey, v, arg_max(struct_pack(paise := CASE WHEN NOT unread THEN paise END, pos := pos), struct_pack(p := CASE WHEN unread THEN 0 ELSE paise END, a := -pos.a, b := -pos.b, c := -pos.c, d := -pos.d)) AS r, min(pos) AS first FROM q GROUP BY 1, 2)
+  SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY first) AS INT) AS place, r.pos.b AS l_partkey, r.paise AS paise FROM b""")
+def largest_quotes(table):
+    """The largest quotation of each vendor, its name spelled in several ways, as its row (AGG-9)."""
+    v = (F.col("l_suppkey") % 20).cast("string")
+    name = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("M/s. Vendor-"), v, F.lit(" Pvt. Ltd."))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("THE VENDOR  "), v, F.lit(" LIMITED"))).otherwise(F.concat(F.lit("Vendor "), v))
+    amount = F.when(F.col("l_quantity") < 3, "not readable").otherwise(F.concat(F.lit("Rs. "), F.format_number("l_extendedprice", 2)))
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", name.alias("vendor"), money.parse_inr(amount).cast("long").alias("paise"))
+    found = claims.largest_quotes(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "vendor", "paise")
+    return found.select("l_orderkey", "place", "l_partkey", "paise")
+
+
+@query("SELECT source, count(*) AS n_pages, round_even(count(*) FILTER (length(trim(coalesce(text, ''))) >= 30) / count(*), 2) AS text_share FROM documents GROUP BY 1")
+def text_shares(table):
+    """The share of a source's documents that have text to read (AGG-16, SRC-1)."""
+    return sections.text_share(table("documents"), "source", "text")
+
+
+@query("""SELECT conv_id, bool_or(turn + 1 <= 12 AND (regexp_matches(upper(text), 'SME PLATFORM|EMERGE PLATFORM|BSE SME|NSE EMERGE|SME EXCHANGE') OR (conv_id % 3 = 0 AND turn = conv_id % 20))) AS sme FROM conversations GROUP BY 1""")
+def sme_screen(table):
+    """Whether the first pages name a platform for small companies (FLT-20); turns are pages."""
+    k, n = F.col("conv_id"), F.col("turn")
+    text = F.when((k % 3 == 0) & (n == k % 20), F.concat("text", F.lit(" on the SME \n Platform of an exchange"))).otherwise(F.col("text"))
+    return sections.screened(table("conversations").select("conv_id", (n + 1).alias("page"), text.alias("text")), "conv_id", "page", "text")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 4 = 0 AS is_order FROM orders""")
+def order_pages(table):
+    """Which URLs are the regulator's orders: host and path (FLT-4)."""
+    k = F.col("o_orderkey")
+    month = F.lower(F.date_format("o_orderdate", "MMM-yyyy"))
+    host = F.when(k % 4 == 0, "https://www.sebi.gov.in").when(k % 4 == 1, "https://sebi.gov.in.elsewhere.example").when(k % 4 == 2, "https://sebi.gov.in").otherwise("https://notsebi.gov.in")
+    path = F.when(k % 4 == 2, F.concat(F.lit("/media/x.html?next=/enforcement/orders/"), month, F.lit("/"))).otherwise(F.concat(F.lit("/enforcement/orders/"), month, F.lit("/x.html")))
+    return table("orders").select("o_orderkey", litigation.is_order(F.concat(host, path)).alias("is_order"))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, 's' || user_id || '-' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR), 6, '0') AS id, lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up, event_type, ts FROM events)
+  SELECT n.event_id, n.id, p.id AS parent, 'by [pan], ' || n.event_type AS note, n.event_id % 50 <> 0 AS fits FROM n LEFT JOIN n p ON p.user_id = n.user_id AND p.event_id = n.up""")
+def emitted_events(table):
+    """Events with ids in order, the ids of their parents and scrubbed data, and whether they fit the journal (SNK-3, JSN-1)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    data = F.to_json(F.struct("event_id", F.concat(F.lit("by ABCDE1234F, "), "event_type").alias("note"), F.when(F.col("event_id") % 50 == 0, F.repeat(F.lit("long "), 1000)).alias("more")))
+    rows = table("events").select("event_id", "ts", _txt("s", F.col("user_id")).alias("scan"), F.lag("event_id", 2).over(w).alias("up"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_ns"), F.col("event_type").alias("type"), data.alias("data"))
+    told = journals.emitted(rows, "scan", ["ts", "event_id"], "event_id", "up")
+    return told.select(F.get_json_object("data", "$.event_id").cast("long").alias("event_id"), "id", "parent", F.get_json_object("data", "$.note").alias("note"), "fits")
+
+
+@query("""WITH f AS (SELECT user_id, min_by(event_id, struct_pack(ts := ts, e := event_id)) AS e FROM events GROUP BY 1), s AS (SELECT 's' || user_id AS scan, sha256('file ' || e) AS sha FROM f WHERE user_id % 3 <> 0)
+  SELECT w.prefix, min(scan) AS scan FROM (SELECT DISTINCT left(sha256('file ' || event_id), 10) AS prefix FROM events) w JOIN s ON contains(s.sha, w.prefix) GROUP BY 1""")
+def scans_of_files(table):
+    """The scan of each file digest that is asked for by its beginning (JN-16)."""
+    e = table("events").withColumn("scan", _txt("s", F.col("user_id")))
+    sha = F.sha2(_txt("file ", F.col("event_id")), 256)
+    place = F.row_number().over(Window.partitionBy("scan").orderBy("ts", "event_id"))
+    events = e.select("scan", F.format_string("%s-%06d", "scan", place).alias("id"), F.to_json(F.struct(sha.alias("sha256"))).alias("data"))
+    cards = e.where("user_id % 3 <> 0").select("scan").distinct()
+    return journals.find_scans(events, cards, e.select(F.left(sha, F.lit(10)).alias("prefix")), "prefix")

@@ -111,6 +111,16 @@ def first_known(rows: DataFrame, key: str, order: list[str], fields: list[str])
     return rows.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields])
 
 
+def largest_quotes(quotes: DataFrame, doc: str, order: list[str], vendor: str, paise: str) -> DataFrame:
+    """The row of the largest quotation of each vendor of a document (AGG-9), names compared without legal forms; an
+    unreadable amount counts as 0, and of equal ones the first by ``order`` is taken. ``place``: the vendors' order of first
+    appearance in the document, from 1."""
+    own = Window.partitionBy(doc, "_key")
+    best = F.row_number().over(own.orderBy(F.coalesce(F.col(paise), F.lit(0)).desc(), *order))
+    keyed = quotes.withColumn("_key", names.normalize_company(F.col(vendor))).withColumn("_first", F.min(F.struct(*order)).over(own)).withColumn("_n", best).where("_n = 1")
+    return keyed.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("_first"))).drop("_key", "_first", "_n")
+
+
 def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """key, kind (added, removed, changed), old and new value of what differs."""
     o, n = (d.select(key, F.col(value).alias(c), F.lit(True).alias(f"has_{c}")) for d, c in ((old, "old"), (new, "new")))

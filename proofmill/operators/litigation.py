@@ -11,6 +11,7 @@ from proofmill.operators.claims import first_by
 from proofmill.operators.containment import containing
 
 # Legal sites, and promoters that are searched for.
+SEBI_HOST = "sebi.gov.in"
 LEGAL_DOMAINS = ["sebi.gov.in", "indiankanoon.org", "ibbi.gov.in"]
 MAX_PROMOTERS = 3
 
@@ -56,3 +57,8 @@ def matters(hits: DataFrame, about: DataFrame, refs: DataFrame, key: str, hit: s
 def undisclosed(found: DataFrame, cutoff: Column) -> DataFrame:
     """Matters that nothing discloses, dated up to the cutoff; without a cutoff the undated too (FLT-9)."""
     return found.where(~F.col("disclosed") & dates.in_time(F.col("day"), cutoff))
+
+
+def is_order(url: Column) -> Column:
+    """A page of the regulator's orders: its host, and a path that tells an order's month (FLT-4)."""
+    return guards.on_host(url, [SEBI_HOST]) & dates.order_month(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).isNotNull()

@@ -33,7 +33,8 @@ ISSUER_LINE = r"^[A-Z][A-Z0-9&.,' ()-]{2,80}\bLIMITED$"
 MIXED_ISSUER_LINE = r"^[A-Z][A-Za-z0-9&.,'()-]*( [A-Za-z0-9&.,'()-]+){1,10} Limited$"
 INTERMEDIARY = r"(?i)STOCK EXCHANGE|SECURITIES AND EXCHANGE|REGISTRAR|LEAD MANAGER"
 BARE_SUFFIX = r"(?i)^(PRIVATE|PUBLIC)\s+LIMITED$"
-COVER_PAGES, FRONT_PAGES = 3, 8
+SME_LISTING = r"SME PLATFORM|EMERGE PLATFORM|BSE SME|NSE EMERGE|SME EXCHANGE"
+COVER_PAGES, FRONT_PAGES, SME_PAGES = 3, 8, 12
 #: A contents list is looked for on so many first pages.
 TOC_SEARCH_PAGES = 15
 
@@ -166,3 +167,14 @@ def issuer(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     count = (F.length("front") - F.length(F.replace(F.upper("front"), F.upper("line"), F.lit("")))) / F.length("line")
     ranked = best.withColumn("n", count.cast("int"))
     return ranked.groupBy(doc).agg(F.max_by("line", F.struct("n", -F.col(f"place.{page}"), -F.col("place.at"))).alias("issuer"))
+
+
+def text_share(pages: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc``, n_pages, text_share: the share of pages that have text to read, two digits, half to even (AGG-16)."""
+    has = (~needs_ocr(F.col(text))).cast("int")
+    return pages.groupBy(doc).agg(F.count("*").alias("n_pages"), F.bround(F.sum(has).cast("decimal(20,0)") / F.count("*"), 2).cast("double").alias("text_share"))
+
+
+def screened(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """``doc``, sme: whether a document's first pages name a platform for small companies (FLT-20)."""
+    return front(pages, doc, page, text, SME_PAGES).select(doc, F.upper("front").rlike(SME_LISTING).alias("sme"))

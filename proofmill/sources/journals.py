@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.functions.requests import public_id, scrub
+from pyspark.sql.window import Window
+
+from proofmill.functions.requests import public_id, scrub, scrub_values
+from proofmill.operators.containment import containing
 
 EVENT = "v INT, id STRING, parent STRING, scan STRING, t_ns BIGINT, type STRING, data STRING"
 MOST_CHARS = 4096
@@ -16,6 +19,36 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
 
 
+def emitted(rows: DataFrame, scan: str, order: list[str], key: str, parent: str) -> DataFrame:
+    """Journal events of ``rows`` (scan, order, key, parent: the key of another row of the scan; t_ns, type, data): ids count
+    a scan's events in order, a parent's key becomes its id (null if the scan lacks it), string values of data are scrubbed
+    one by one, and ``fits`` tells whether the line is short enough for the journal (SNK-3, JSN-1, WIN-8)."""
+    n = F.row_number().over(Window.partitionBy(scan).orderBy(*order))
+    told = rows.withColumn("id", F.format_string("%s-%06d", F.col(scan).cast("string"), n))
+    ids = told.select(F.col(scan).alias("_scan"), F.col(key).alias("_key"), F.col("id").alias("_id"))
+    linked = told.join(ids, (F.col(scan) == F.col("_scan")) & (F.col(parent) == F.col("_key")), "left")
+    event = linked.select(F.lit(1).alias("v"), "id", F.col("_id").alias("parent"), F.col(scan).cast("string").alias("scan"), "t_ns", "type", scrub_values(F.col("data")).alias("data"))
+    return event.withColumn("fits", F.length(F.to_json(F.struct(*event.columns))) <= MOST_CHARS)
+
+
+def append_uses(uses: DataFrame, path: str) -> None:
+    """Uses are appended as they come; a use that is logged twice is two uses (SNK-6)."""
+    uses.write.mode("append").parquet(path)
+
+
+def case_names(cards: DataFrame, name: str) -> DataFrame:
+    """Names of saved cases, each once, sorted; those that may not stand in a path are left out (SRT-8, FLT-18)."""
+    return cards.where(public_id(F.col(name))).select(name).distinct().orderBy(name)
+
+
+def find_scans(events: DataFrame, cards: DataFrame, wanted: DataFrame, prefix: str) -> DataFrame:
+    """``prefix``, scan: for each wanted part of a file's digest the first scan, by name, whose first event names a file with
+    it and that has a card (JN-16). ``events``: scan, id, data; ``cards``: scan."""
+    first = events.groupBy("scan").agg(F.min_by("data", "id").alias("data")).join(cards.select("scan"), "scan", "left_semi")
+    named = first.select("scan", F.get_json_object("data", "$.sha256").alias("sha256")).where("sha256 is not null")
+    return containing(named, wanted, "scan", "sha256", prefix).groupBy(prefix).agg(F.min("scan").alias("scan"))
+
+
 def write_events(events: DataFrame, path: str, fresh: bool = False) -> int:
     """Appends events (or starts anew); those over 4096 characters go beside it, to ``path``-rejected. Their number."""
     fits = F.length(F.to_json(F.struct(*events.columns))) <= MOST_CHARS
