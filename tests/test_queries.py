@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from proofmill import catalogue, catalogue_evidence  # noqa: F401
+from proofmill import catalogue, catalogue_evidence, catalogue_filings, catalogue_findings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
