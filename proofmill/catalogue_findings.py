@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofmill.catalogue import query
-from proofmill.functions import money
+from proofmill.functions import money, requests
 from proofmill.operators import analyst, claims, litigation, sections
 from proofmill.plans import findings
 from proofmill.sources import journals
@@ -261,3 +261,26 @@ def scans_of_files(table):
     events = e.select("scan", F.format_string("%s-%06d", "scan", place).alias("id"), F.to_json(F.struct(sha.alias("sha256"))).alias("data"))
     cards = e.where("user_id % 3 <> 0").select("scan").distinct()
     return journals.find_scans(events, cards, e.select(F.left(sha, F.lit(10)).alias("prefix")), "prefix")
+
+
+@query(f"""{_FOUND}, c AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (status = 'consistent') AS good, count(*) FILTER (status = 'inconsistent') AS bad, count(*) FILTER (status = 'unverified') AS gap,
+    string_agg(lpad(CAST(r AS VARCHAR), 2, ' ') || '. [' || CASE status WHEN 'consistent' THEN 'checks out' WHEN 'inconsistent' THEN 'doesn''t match' ELSE 'couldn''t find' END || '] ' || text, chr(10) ORDER BY r) AS told FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ord, rule) AS r FROM lines) GROUP BY 1)
+  SELECT o_orderkey, 'CARD · Issuer ' || o_orderkey || chr(10) || good || ' of ' || n || ' check out · ' || bad || ' don''t match · ' || gap || ' couldn''t find' || chr(10) || chr(10) || told || chr(10) || '    A note of ' || year(CAST(o_orderdate AS DATE)) || chr(10) || chr(10) || 'Not advice.' AS card FROM c JOIN orders USING (o_orderkey)""")
+def card_texts(table):
+    """Cards as text: counts, numbered lines with their marks, notes, disclaimer (SNK-11)."""
+    lines = findings.vendor_signals(_vendors(table), ["o_orderkey"], F.col("cutoff")).select("o_orderkey", "ord", "check", "rule", "status", "text")
+    notes = _vendors(table).select("o_orderkey").join(table("orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    note = notes.select("o_orderkey", F.lit(9).alias("ord"), F.lit("note").alias("check"), F.lit("HY-01").alias("rule"), F.lit("not_applicable").alias("status"), _txt("A note of ", F.year("o_orderdate")).alias("text"))
+    return findings.card_texts(lines.unionByName(note).withColumn("company", _txt("Issuer ", F.col("o_orderkey"))), "o_orderkey", "company", "CARD", _DISCLAIMER)
+
+
+@query(r"""SELECT page_id, left(page_id || '. ' || left(title, 90) || ' | ' || CASE WHEN page_id % 3 = 0 THEN concat_ws(' | ', 'Kind ' || page_id % 4, CASE WHEN page_id % 2 = 0 THEN 'Pune, India' END) ELSE regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') || CASE WHEN page_id % 5 = 0 THEN ' (12 May 2024)' ELSE '' END || ' | ' || left(url, 150) END, 230) AS line
+  FROM (SELECT page_id, url, upper(split_part(url, '?', 1)) AS title FROM pages)""")
+def described_items(table):
+    """Found items in one line: title, host and date, snippet; kind and address of places (STR-19)."""
+    k = F.col("page_id")
+    item = {
+        "title": F.upper(F.split("url", r"\?")[0]), "link": F.col("url"), "date": F.when(k % 5 == 0, "12 May 2024").otherwise(""), "snippet": F.col("url"),
+        "type": _txt("Kind ", k % 4), "address": F.when(k % 2 == 0, "Pune, India").otherwise(""), "open_state": F.lit(None).cast("string"),
+    }
+    return table("pages").select("page_id", requests.described(k, F.when(k % 3 == 0, "maps").otherwise("web"), item).alias("line"))

@@ -32,9 +32,9 @@ SECRETISH = r"(?i)api_key|apikey|bearer\s"
 CONTROL = r"[\x00-\x1f\x7f]"
 SAFE_URL = r"(?i)^https://[a-z0-9.-]+(?::\d{2,5})?/\S{0,1900}$"
 LONGEST = 512
+LINE_CHARS = 230
 REVIEW_FIELDS = ["rating", "date", "iso_date", "iso_date_of_last_edit"]
 REVIEW_LISTS = ["reviews", "user_reviews"]
-API_KEY_IN_TEXT = r"(?i)([?&]api_key=)[^&\s\"'#]+"
 PUBLIC_ID = r"^[a-z0-9-]{1,64}$"
 
 
@@ -122,6 +122,19 @@ def query_text(kind: Column, terms: Column, registry: str, legal: str) -> Column
     return F.when(kind == "registry", F.concat(quoted, F.lit(registry))).when(kind == "legal", F.concat(quoted, F.lit(legal))).otherwise(terms)
 
 
+def described(number: Column, kind: Column, item: dict[str, Column]) -> Column:
+    """A found item in one line of LINE_CHARS at most (STR-19): title, host with date, snippet; a place's type, address and
+    hours instead. ``item``: title, link, date, snippet, type, address, open_state; empty ones count as missing. Texts are
+    masked before they are cut."""
+    some = lambda n: F.nullif(item[n], F.lit(""))
+    safe = lambda c, n: F.left(guards.mask_pii(guards.clean_text(c)["text"]), F.lit(n))
+    title = safe(F.coalesce(item["title"], F.lit("")), 90)
+    place = F.concat_ws(" | ", *[safe(some(n), 70) for n in ("type", "address", "open_state")])
+    when = F.coalesce(F.concat(F.lit(" ("), some("date"), F.lit(")")), F.lit(""))
+    page = F.concat(F.coalesce(guards.host(item["link"]), F.lit("")), when, F.lit(" | "), safe(F.coalesce(item["snippet"], F.lit("")), 150))
+    return F.left(F.concat(number.cast("string"), F.lit(". "), title, F.lit(" | "), F.when(kind == "maps", place).otherwise(page)), F.lit(LINE_CHARS))
+
+
 def _walk(value, leaf: Callable):
     if isinstance(value, dict):
         return {k: _walk(v, leaf) for k, v in value.items()}
@@ -148,7 +161,7 @@ def sanitized(engine: Column, body: Column) -> Column:
     text is no object. Its keys' order stays."""
 
     def run(engines: pd.Series, bodies: pd.Series) -> pd.Series:
-        pattern = re.compile(API_KEY_IN_TEXT)
+        pattern = re.compile(guards.API_KEY)
         plain = lambda v: pattern.sub(r"\1[redacted]", v) if isinstance(v, str) else v
 
         def one(name: str | None, text: str | None) -> str | None:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import guards
 from proofmill.operators import answers
+from proofmill.plans.findings import MARKS
 
-# Marks of statuses, what topics are called, words of answers.
-MARKS = {"consistent": "checks out", "inconsistent": "doesn't match", "unverified": "couldn't find", "not_applicable": "not applicable"}
+# What topics are called, words of answers.
 TOPIC_NAMES = {"vendor": "the vendor", "site": "the company's premises", "banker": "the lead manager", "litigation": "court or SEBI matters", "footprint": "news coverage"}
 NONE_FLAGGED = "No line on this card fails to match. Lines marked couldn't find are gaps, not findings."
 NOT_COVERED = "This card doesn't cover that. It checks the vendor, the premises, the lead manager, court and SEBI matters, and news; ask about one of those, or /proof <n> for a line's source."

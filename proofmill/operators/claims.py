@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from proofmill.functions import money, names
 from proofmill.functions.names import norm
+from proofmill.sources.stored import checkpointed
 
 # The pattern of rows of an expenses table.
 EXPENSE_ROW = (
@@ -135,7 +136,7 @@ def depth(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     up = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).join(known, "p", "left")
     at = up.select("n", F.when(F.col("ok"), F.col("p")).alias("p"), F.when(F.col("ok"), 1).otherwise(0).alias("d"))
     while True:
-        at = at.checkpoint()  # cuts the lineage of the rounds; the session must have a checkpoint folder
+        at = checkpointed(at)  # cuts the lineage of the rounds
         if not at.where("p is not null").limit(1).count():
             return at.select(F.col("n").alias(node), F.col("d").alias("depth"))
         q = at.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
@@ -170,7 +171,7 @@ def chunks(pages: DataFrame, doc: str, order: str, block: str, cap: int = 20480)
     summary of each task's first and last document gives the chunk that is open where the next task begins.
     """
     sizes = pages.select(F.col(doc).alias("doc"), F.col(order).cast("bigint").alias("ord"), F.coalesce(F.octet_length(block), F.lit(0)).cast("bigint").alias("n"))
-    dealt = sizes.repartitionByRange("doc", "ord", "n").sortWithinPartitions("doc", "ord", "n").select(F.spark_partition_id().alias("part"), "doc", "ord", "n").checkpoint()
+    dealt = checkpointed(sizes.repartitionByRange("doc", "ord", "n").sortWithinPartitions("doc", "ord", "n").select(F.spark_partition_id().alias("part"), "doc", "ord", "n"))
     kind = dealt.schema["doc"].dataType.simpleString()
     arrays = [pa.list_(pa.int64())] * 3
     doc_type = to_arrow_type(dealt.schema["doc"].dataType)

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from proofmill.functions import guards
 from proofmill.functions.dates import in_month, in_time
 from proofmill.functions.money import format_inr, ratio
-from proofmill.plans.rules import CAPITAL_TIMES, STALE_MONTHS, STRUCK_OFF, C, I, U, capital_status, company_status, hits_status, presence_status
+from proofmill.plans.rules import CAPITAL_TIMES, STALE_MONTHS, STRUCK_OFF, C, I, N, U, capital_status, company_status, hits_status, presence_status
 from proofmill.plans.signals import RESIDENTIAL, WORKPLACES
 
+# Marks of statuses.
+MARKS = {C: "checks out", I: "doesn't match", U: "couldn't find", N: "not applicable"}
+
 EVIDENCE = "struct<engine:string,request:string,search_id:string,url:string,title:string,snippet:string,published:date>"
 FIELDS = ["check", "rule", "subject", "status", "text", "observed", "threshold", "page", "evidence", "pit_ok"]
 #: Pieces of evidence that a line of legal pages, and of the bankers' own orders, shows; lines of a letter.
@@ -173,6 +176,20 @@ def litigation_signals(cases: DataFrame, keep: list[str], cutoff: Column) -> Dat
     return _told(cases, keep, F.array(_signal("litigation", "LT-03", c("issuer"), hits_status(n), F.when(n > 0, found).otherwise(nothing), c("page"), held, observed, pit_ok=cutoff.isNotNull())))
 
 
+def card_texts(lines: DataFrame, doc: str, company: str, head: str, disclaimer: str) -> DataFrame:
+    """``doc``, card: the numbered lines of a card under its counts, then the lines that aren't counted (SNK-11). ``lines``:
+    doc, company, ord, check, rule, status and text. ``head`` and the company stand first."""
+    shown = F.filter("ls", lambda x: x["status"] != N)
+    n = lambda s: F.size(F.filter(shown, lambda x: x["status"] == s)).cast("string")
+    counts = F.concat(n(C), F.lit(" of "), F.size(shown).cast("string"), F.lit(" check out · "), n(I), F.lit(" don't match · "), n(U), F.lit(" couldn't find"))
+    marks = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
+    told = F.transform(shown, lambda x, i: F.concat(F.format_string("%2d", i + 1), F.lit(". ["), marks[x["status"]], F.lit("] "), x["text"]))
+    context = F.transform(F.filter("ls", lambda x: x["status"] == N), lambda x: F.concat(F.lit("    "), x["text"]))
+    listed = lines.groupBy(doc, F.col(company).alias("company")).agg(F.array_sort(F.collect_list(F.struct("ord", "check", "rule", "status", "text"))).alias("ls"))  # the lines of one card
+    top = F.array(F.concat(F.lit(f"{head} · "), "company"), counts, F.lit(""))
+    return listed.select(doc, F.array_join(F.concat(top, told, context, F.array(F.lit(""), F.lit(disclaimer))), "\n").alias("card"))
+
+
 def letters(lines: DataFrame, doc: str, company: str, tool: str, disclaimer: str) -> DataFrame:
     """``doc``, letter: a neutral comment on the lines that don't match, with their pages and first sources (SNK-10); none
     for a card without such lines. ``lines``: doc, company, ord and FIELDS."""

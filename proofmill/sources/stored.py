@@ -54,3 +54,11 @@ def discard(*tables: DataFrame) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored ``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint, its partitions and their order kept, in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark).rpartition("/")[0])
+    return df.checkpoint()
