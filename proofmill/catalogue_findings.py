@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from proofmill.catalogue import query
 from proofmill.functions import money, requests
-from proofmill.operators import analyst, claims, litigation, sections
+from proofmill.operators import analyst, claims, litigation, pool, sections
 from proofmill.plans import findings
 from proofmill.sources import journals
 
@@ -284,3 +284,57 @@ def described_items(table):
         "type": _txt("Kind ", k % 4), "address": F.when(k % 2 == 0, "Pune, India").otherwise(""), "open_state": F.lit(None).cast("string"),
     }
     return table("pages").select("page_id", requests.described(k, F.when(k % 3 == 0, "maps").otherwise("web"), item).alias("line"))
+
+
+@query(r"""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part),
+  t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN text || ' Proof of line ' || turn WHEN 1 THEN 'read ' || text || ' /tmp/a' || conv_id || '.pdf now' WHEN 2 THEN 'Show me the ' || CASE WHEN turn % 2 = 0 THEN upper(p_name) ELSE replace(p_name, ' ', '-') END || ' one' WHEN 3 THEN 'an Example of ' || text ELSE text END AS text FROM conversations JOIN part ON p_partkey = conv_id),
+  c AS (SELECT conv_id, turn, min(name) AS name FROM t JOIN n ON contains(lower(text), lower(name)) OR contains(lower(text), replace(lower(name), '-', ' ')) GROUP BY 1, 2)
+  SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'proof' WHEN 1 THEN 'scan' WHEN 2 THEN 'replay' WHEN 3 THEN 'replay' ELSE CASE WHEN name IS NULL THEN 'ask' ELSE 'replay' END END AS intent,
+    CASE (conv_id + turn) % 5 WHEN 0 THEN CAST(turn AS VARCHAR) WHEN 1 THEN '/tmp/a' || conv_id || '.pdf' WHEN 3 THEN coalesce(name, (SELECT min(name) FROM n)) ELSE name END AS object FROM t LEFT JOIN c USING (conv_id, turn)""")
+def turn_intents(table):
+    """What a turn asks for: a line's proof, a document, a recorded case named in plain words, or an answer (STR-26)."""
+    way, n = (F.col("conv_id") + F.col("turn")) % 5, F.col("turn")
+    name = F.when(n % 2 == 0, F.upper("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
+    text = (
+        F.when(way == 0, F.concat("text", F.lit(" Proof of line "), n.cast("string"))).when(way == 1, F.concat(F.lit("read "), "text", F.lit(" /tmp/a"), F.col("conv_id").cast("string"), F.lit(".pdf now")))
+        .when(way == 2, F.concat(F.lit("Show me the "), name, F.lit(" one"))).when(way == 3, F.concat(F.lit("an Example of "), "text")).otherwise(F.col("text"))
+    )
+    turns = table("conversations").join(table("part"), F.col("p_partkey") == F.col("conv_id")).select(_txt(F.col("conv_id"), ":", n).alias("key"), text.alias("text"))
+    cases = table("part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).distinct()
+    found = pool.intents(turns, cases, "key", cases.agg(F.min("name")).first()[0])
+    at = F.split("key", ":")
+    return found.select(at[0].cast("long").alias("conv_id"), at[1].cast(table("conversations").schema["turn"].dataType).alias("turn"), "intent", "object")
+
+
+@query("""WITH i AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS fixed, CASE o_orderkey % 4 WHEN 0 THEN 'registry' WHEN 1 THEN 'legal' WHEN 2 THEN 'maps' END AS route FROM orders)
+  SELECT o_custkey, o_orderkey, CASE WHEN fixed THEN 'registry' ELSE route END AS route, CAST(row_number() OVER (PARTITION BY o_custkey, CASE WHEN fixed THEN 'registry' ELSE route END ORDER BY fixed DESC, o_orderkey) AS INT) AS place FROM i WHERE fixed OR route IS NOT NULL""")
+def pooled_items(table):
+    """Items of fixed searches and those of a second one, routed by host or tool, in the order in which they were found (SET-7, SET-10)."""
+    k = F.col("o_orderkey") % 4
+    link = F.when(k == 0, "https://www.tofler.in/x").when(k == 1, "https://ibbi.gov.in/y").otherwise("https://elsewhere.example/")
+    tool = F.when(k == 2, "search_maps").otherwise("search_web")
+    items = table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", link.alias("link"), tool.alias("tool"))
+    fixed = items.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.lit("registry").alias("route"))
+    return pool.pooled(fixed, items.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "route", "place")
+
+
+@query("""SELECT c_custkey, c_name AS title, CASE WHEN c_nationkey % 2 = 0 THEN 'Sector ' || c_nationkey || ', Pune' ELSE '' END AS city_area, CASE WHEN c_acctbal < 0 THEN 'Closed' ELSE '' END AS open_state, c_custkey % 3 = 0 AS unclaimed, CASE WHEN c_custkey % 2 = 0 THEN CAST(floor(abs(c_acctbal)) AS INT) ELSE 0 END AS reviews,
+  c_mktsegment || ', shop' AS place_type, c_nationkey % 3 <> 0 AS usable, CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-12-04' WHEN c_custkey % 3 = 0 THEN DATE '2024-05-12' END AS published FROM customer""")
+def listed_places(table):
+    """Listings as facts with defaults, places whose city isn't blank, and dates of items (STR-18, FLT-8, DAT-5, JSN-5)."""
+    k = F.col("c_custkey")
+    item = {
+        "title": F.col("c_name"), "address": F.when(F.col("c_nationkey") % 2 == 0, _txt("Plot 7, Sector ", F.col("c_nationkey"), ", Pune")), "open_state": F.when(F.col("c_acctbal") < 0, "Closed"), "unclaimed": F.when(k % 3 == 0, F.lit(True)),
+        "reviews": F.when(k % 2 == 0, F.floor(F.abs("c_acctbal")).cast("string")).otherwise("many"), "type": _txt('["', F.col("c_mktsegment"), '","shop"]'),
+    }
+    city = F.when(F.col("c_nationkey") % 3 == 0, " N/A. ").otherwise("Pune")
+    when = pool.published(F.when(k % 2 == 0, "2024-12-04T10:00:00"), F.when(k % 3 == 0, "12 May 2024"), F.lit("2024-06-01").cast("date"))
+    return table("customer").select("c_custkey", pool.place_facts(item).alias("p"), pool.usable(city).alias("usable"), when.alias("published")).select("c_custkey", "p.title", "p.city_area", "p.open_state", "p.unclaimed", "p.reviews", "p.place_type", "usable", "published")
+
+
+@query("""SELECT sha256(text) AS sha256, min(octet_length(encode(text))) AS n FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0) GROUP BY 1""")
+def stored_blobs(table):
+    """Bodies that a store doesn't hold yet, each once (SNK-7, SNK-5)."""
+    d = table("documents").where("text is not null")
+    held = d.where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("sha256"))
+    return pool.put_blobs(d.select(F.col("text").cast("binary").alias("body")), held).select("sha256", F.octet_length("body").cast("long").alias("n"))
