@@ -335,3 +335,37 @@ def replay_stream(table):
     """The same bundles read as a stream: lines and refused lines of each case (SRC-8)."""
     read = journal.drained(replay.stream_bundles(*_bundles(table)))
     return read.groupBy("case").agg(F.count("*").alias("n"), F.count_if(F.col("rule").isNotNull()).alias("refused"))
+
+
+_NAMES = [("1", "ALPHA WORKS LIMITED"), ("2", "Beta  Industries Limited"), ("3", "REGISTRAR TO THE ISSUE LIMITED"), ("4", "PRIVATE LIMITED"), ("5", "GAMMA & SONS (INDIA) LIMITED")]
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey, o_orderkey % 3 + 1 AS page, left(o_orderpriority, 1) AS p, o_orderstatus AS s, CAST(date_trunc('year', o_orderdate) + INTERVAL 1 MONTH * (o_orderkey % 2) AS DATE) AS day FROM orders),
+  named AS (SELECT k, CASE p WHEN '1' THEN 'ALPHA WORKS LIMITED' WHEN '2' THEN 'Beta Industries Limited' ELSE 'GAMMA & SONS (INDIA) LIMITED' END AS line, CASE WHEN p = '2' THEN 1 ELSE 0 END AS kind, count(*) AS n, min(struct_pack(page := page, o := o_orderkey)) AS place FROM o WHERE p IN ('1', '2', '5') GROUP BY 1, 2, 3),
+  issuer AS (SELECT k, line AS issuer FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY kind, n DESC, place) AS r FROM named) WHERE r = 1),
+  dated AS (SELECT k, day FROM (SELECT k, day, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, day DESC) AS r FROM o GROUP BY 1, 2) WHERE r = 1)
+  SELECT k AS o_custkey, issuer, dated.day, CASE WHEN NOT (bool_or(s = 'F') AND bool_or(s = 'O')) THEN 'not_a_prospectus' END AS refused FROM o LEFT JOIN issuer USING (k) JOIN dated USING (k) GROUP BY 1, 2, 3""")
+def filing_covers(table):
+    """Issuers and dates that covers print, among other names and dates, and which are no prospectuses (DAT-9, AGG-7, AGG-8, FLT-12)."""
+    k, p = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
+    name = F.lit(None).cast("string")
+    for n, told in _NAMES:
+        name = F.when(p == n, told).otherwise(name)
+    day = F.add_months(F.trunc(F.col("o_orderdate").cast("date"), "year"), (k % 2).cast("int"))
+    kind = F.when(F.col("o_orderstatus") == "F", "A Prospectus").when(F.col("o_orderstatus") == "O", "of Equity Shares").otherwise("more")
+    line = F.concat(name, F.lit("\n"), kind, F.lit(", dated : "), F.date_format(day, "MMMM d, yyyy"))
+    orders = table("orders").select("o_custkey", (k % 3 + 1).cast("int").alias("page"), F.struct("o_orderkey", line.alias("line")).alias("x"))
+    pages = orders.groupBy("o_custkey", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+    fronts = sections.front(pages, "o_custkey", "page", "text", sections.COVER_PAGES)
+    refused = sections.front(pages, "o_custkey", "page", "text", sections.FRONT_PAGES).select("o_custkey", sections.admission(F.col("front")).alias("refused"))
+    return refused.join(sections.issuer(pages, "o_custkey", "page", "text"), "o_custkey", "left").join(sections.cover_dates(fronts, "o_custkey"), "o_custkey").select("o_custkey", "issuer", "day", "refused")
+
+
+@query("""SELECT event_id, CASE WHEN k < 10 THEN 'bad_key' WHEN k < 20 THEN 'quota' WHEN k < 30 THEN 'transient' WHEN event_type = 'error' THEN 'empty' WHEN k >= 90 OR event_type = 'click' THEN 'invalid' ELSE 'ok' END AS outcome
+  FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""")
+def answer_outcomes(table):
+    """What answers mean by the status and error text that events carry (STR-28)."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(k < 10, 401).when(k < 20, 429).when(k < 30, 500 + k).when(k >= 90, 404).otherwise(200)
+    error = F.when(F.col("event_type") == "error", "No results for this query").when(F.col("event_type") == "click", F.concat(F.lit("Unsupported value: "), F.col("event_type")))
+    return table("events").select("event_id", requests.outcome(status, error).alias("outcome"))
