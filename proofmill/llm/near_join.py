@@ -284,7 +284,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reached = placed.groupBy("id").agg(F.min("component_id").alias("component_id"))
     known = sized.join(reached, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     nulls = _sketches(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("id"), F.col("text").cast("string")), k)
-    return known.unionByName(nulls.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    out = known.unionByName(nulls.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    out = written(out, "near-components")
+    discard(sketches, sets, found)
+    return out
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
