@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm.store import discard, documents, written
@@ -173,12 +173,16 @@ def weigh(docs: DataFrame, target: DataFrame, max_n: int = MAX_N, buckets: int =
     are drawn, the greatest scores first and of equal ones the least id, null first; the others have no rank. A null or
     empty text has no words, a null id is the empty text to the noise; rows that share an id, or are repeated, are
     documents of their own that share the noise. Without a target all counts of it are 0. Empty tables give no rows; other
-    columns are ignored, but ``row``, if ``docs`` has it, is a number that the result keeps.
+    columns are ignored.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    return _weighed(docs, target, F.monotonically_increasing_id(), max_n, buckets, percent, min_words, seed).drop("row")
+
+
+def _weighed(docs: DataFrame, target: DataFrame, row: Column, max_n: int = MAX_N, buckets: int = BUCKETS, percent: int = PERCENT, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
+    """Of ``weigh``, with ``row``, a number that each document keeps."""
     text = F.col("text").cast("string").alias("text")
     empty = F.lit(None).cast("long")
-    sums = _gains(docs.select(F.col("doc_id").cast("long"), row, text), target.select(empty.alias("doc_id"), empty.alias("row"), text), max_n, buckets)
+    sums = _gains(docs.select(F.col("doc_id").cast("long"), row.alias("row"), text), target.select(empty.alias("doc_id"), empty.alias("row"), text), max_n, buckets)
     mean = F.when(F.col("n_features") > 0, F.expr("(gains - pmod(gains, n_features)) div n_features")).otherwise(F.lit(0)).cast("long")
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     gumbel = F.floor(-1000 * F.ln(-F.ln((noise + 0.5) / F.lit(4294967296.0)))).cast("long")
@@ -188,14 +192,14 @@ def weigh(docs: DataFrame, target: DataFrame, max_n: int = MAX_N, buckets: int =
     placed = ranked(scored, F.col("n_words") < min_words, -F.col("score"), F.col("doc_id"), name="rank")
     discard(sums)
     rank = F.when(F.col("rank") <= drawn, F.col("rank")).alias("rank")
-    return placed.select("doc_id", *(["row"] if "row" in docs.columns else []), "n_words", "n_features", "weight", "score", rank)
+    return placed.select("doc_id", "row", "n_words", "n_features", "weight", "score", rank)
 
 
 def resample(docs: DataFrame, target: DataFrame, **settings: int) -> DataFrame:
     """The rows of ``docs`` that ``weigh`` draws, with all their columns and their ``rank`` (a column of that name gives way)."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
     rows = written(docs.select(own, F.col("doc_id"), F.col("text")).withColumn("row", F.monotonically_increasing_id()), "documents")
-    drawn = weigh(rows.select("doc_id", "text", "row"), target, **settings).where("rank is not null").select("row", "rank")
+    drawn = _weighed(rows.select("doc_id", "text", "row"), target, F.col("row"), **settings).where("rank is not null").select("row", "rank")
     return rows.join(drawn, "row").select(*[F.col(f"own.`{c}`") for c in docs.columns if c != "rank"], "rank")
 
 

@@ -84,6 +84,14 @@ def test_importance_rows(spark, awkward):
     assert importance.resample(awkward.where("false"), read(spark, "benchmark")).count() == 0
 
 
+def test_importance_clashing_names(spark, awkward):
+    """Columns named like the operator's own are ignored, whatever they hold."""
+    clash = awkward.selectExpr("*", "'x' as row", "'y' as block", "'z' as weight", "array(1) as tuple")
+    key = lambda df: sorted((tuple(r) for r in importance.weigh(df, read(spark, "benchmark").selectExpr("*", "'q' as target")).collect()), key=str)
+    assert key(clash) == key(awkward)
+    assert importance.resample(clash, read(spark, "benchmark"), percent=100, min_words=0).columns == [c for c in clash.columns if c != "rank"] + ["rank"]
+
+
 def test_importance_empty(spark, awkward):
     nothing = read(spark, "benchmark").where("false")
     assert importance.weigh(awkward.where("false"), read(spark, "benchmark")).count() == 0
