@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from proofmill.functions.dates import MONTHS, absolute_date
 from proofmill.operators import claims
 from proofmill.operators.claims import mode_latest
+from proofmill.sources.stored import written
 
 # Patterns of section titles, contents lines, page headers and covers.
 TARGETS = {
@@ -67,7 +68,11 @@ def target_name(title: Column) -> Column:
 
 def top_lines(text: Column) -> Column:
     """The first lines of a page but for its header, normalized."""
-    return F.transform(F.slice(F.filter(clean_lines(text), lambda x: ~x.rlike(PAGE_HEADER)), 1, TOP_LINES), normal)
+    return _tops(clean_lines(text))
+
+
+def _tops(lines: Column) -> Column:
+    return F.transform(F.slice(F.filter(lines, lambda x: ~x.rlike(PAGE_HEADER)), 1, TOP_LINES), normal)
 
 
 def toc_titles(lines: Column) -> Column:
@@ -85,13 +90,18 @@ def toc_titles(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["out"])
 
 
+def contents_pages(pages: DataFrame, doc: str, page: str, lines: str) -> DataFrame:
+    """doc, toc_page of the documents that have a contents list."""
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(page))
+    listed = F.exists(lines, lambda x: x.rlike(TOC_TITLE))
+    return pages.select(doc, page, listed.alias("listed")).withColumn("place", place).where(f"listed and place <= {TOC_SEARCH_PAGES}").groupBy(doc).agg(F.min(page).alias("toc_page"))
+
+
 def contents(pages: DataFrame, doc: str, page: str, lines: str) -> DataFrame:
     """doc, toc_page, ord, title of the documents' contents lists (STR-13): the first page with a contents title among the
     first of the document, and the page after it, onto which a list can spill. A document without such a page has no row;
     one whose list names nothing has one with a null title."""
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(page))
-    listed = F.exists(lines, lambda x: x.rlike(TOC_TITLE))
-    toc = pages.select(doc, page, listed.alias("listed")).withColumn("place", place).where(f"listed and place <= {TOC_SEARCH_PAGES}").groupBy(doc).agg(F.min(page).alias("toc_page"))
+    toc = contents_pages(pages, doc, page, lines)
     spread = pages.join(toc, doc).where((F.col(page) == F.col("toc_page")) | (F.col(page) == F.col("toc_page") + 1))
     titles = spread.select(doc, page, F.posexplode(toc_titles(F.col(lines))).alias("at", "title"))
     ord_ = (F.row_number().over(Window.partitionBy(doc).orderBy(page, "at")) - 1).alias("ord")
@@ -107,20 +117,21 @@ def section_map(pages: DataFrame, doc: str, page: str = "page", text: str = "tex
     first place in the list. A section ends a page before the next located title, whatever that names, and the last one
     with the document. Of two titles that name one section the earlier counts.
     """
-    read = pages.select(doc, page, clean_lines(F.col(text)).alias("lines"), top_lines(F.col(text)).alias("tops"))
+    # Lines are read several times and cut out of texts once.
+    read = written(pages.select(doc, page, clean_lines(F.col(text)).alias("lines")), "page-lines")
     toc = contents(read, doc, page, "lines")
     titles = toc.where("title is not null").select(doc, "ord", "title")
-    after = read.join(toc.select(doc, "toc_page").distinct(), doc).where(F.col(page) > F.col("toc_page")).select(doc, page, "tops")
+    after = read.join(toc.select(doc, "toc_page").distinct(), doc).where(F.col(page) > F.col("toc_page")).select(doc, page, _tops(F.col("lines")).alias("tops"))
     found = claims.section_starts(titles, after, doc, "ord", "title", page, "tops")
     once = found.groupBy(doc, "title").agg(F.min("ord").alias("ord"), F.max("start").alias("start"))
-    last = pages.groupBy(doc).agg(F.max(page).cast("bigint").alias("last"))
+    last = read.groupBy(doc).agg(F.max(page).cast("bigint").alias("last"))
     ended = claims.section_ends(once.join(last, doc), doc, "start", "ord", "last").withColumn("section", target_name(F.col("title")))
     return claims.first_by(ended.where("section is not null"), [doc, "section"], F.col("start"), F.col("ord")).select(doc, "section", "title", "start", "end")
 
 
 def section_gaps(pages: DataFrame, located: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
     """doc, toc_page (null: no list), missing (names of the sections that weren't located, in order). ``located``: of ``section_map``."""
-    toc = contents(pages.select(doc, page, clean_lines(F.col(text)).alias("lines")), doc, page, "lines").select(doc, "toc_page").distinct()
+    toc = contents_pages(pages.select(doc, page, clean_lines(F.col(text)).alias("lines")), doc, page, "lines")
     have = located.groupBy(doc).agg(F.collect_set("section").alias("have"))
     known = F.array(*[F.lit(n) for n in sorted(TARGETS)])
     every = pages.select(doc).distinct().join(toc, doc, "left").join(have, doc, "left")
