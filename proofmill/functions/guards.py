@@ -1,10 +1,6 @@
 """Text guards (STR-1 to STR-7, STR-12, STR-20, AGG-13): cleaning, masks, and counts of named patterns."""
 
 from __future__ import annotations
-
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,17 +75,6 @@ def check_digit(digits: str) -> int:
     return next(d for d in range(10) if verhoeff(f"{digits}{d}") == 0)
 
 
-def _mask_aadhaar(texts: pd.Series) -> pd.Series:
-    pattern = re.compile(AADHAAR, re.ASCII)
-    keep = lambda m: "[aadhaar]" if verhoeff(re.sub(r"\D", "", m[0])) == 0 else m[0]
-    return texts.map(lambda t: None if t is None else pattern.sub(keep, t))
-
-
-def mask_aadhaar(text: Column) -> Column:
-    """Only numbers whose check digit holds are masked."""
-    return F.pandas_udf(_mask_aadhaar, "string")(text)
-
-
 def is_checked(number: Column) -> Column:
     """Whether a number's last digit is its check digit, in expressions alone."""
     group = F.array(*[F.lit(_d(a, b)) for a in range(10) for b in range(10)])
@@ -99,10 +84,18 @@ def is_checked(number: Column) -> Column:
     return F.aggregate(placed, F.lit(0), lambda c, p: F.get(group, c * 10 + p)) == 0
 
 
-def mask_checked(text: Column) -> Column:
-    """As ``mask_aadhaar``, for texts inside arrays, where no Python function can be called."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(AADHAAR), F.lit(0)))
-    return F.aggregate(found, text, lambda t, m: F.when(is_checked(m), F.replace(t, m, F.lit("[aadhaar]"))).otherwise(t))
+def mask_aadhaar(text: Column) -> Column:
+    """Only numbers whose check digit holds are masked; in expressions, so that no text goes to Python, whose batches are as
+    large as their texts."""
+
+    def masked(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(AADHAAR), F.lit(0)), lambda m: F.when(is_checked(m), "[aadhaar]").otherwise(m))
+        # What stands between the numbers is one part more than they are.
+        between = F.split(t, AADHAAR)
+        return F.array_join(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
+
+    # In an array, so that the text is made once for both readings of it.
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(AADHAAR), masked(t)).otherwise(t)), F.lit(0))
 
 
 def mask_pii(text: Column, aadhaar: bool = True) -> Column:

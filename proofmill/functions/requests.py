@@ -200,7 +200,7 @@ def scrub_values(line: Column) -> Column:
 
     def piece(x: Column) -> Column:
         text = F.from_json(F.concat(F.lit("["), bare(x), F.lit("]")), "array<string>")[0]
-        safe = guards.mask_pii(guards.mask_checked(guards.redact(text)), aadhaar=False)
+        safe = guards.mask_pii(guards.redact(text))
         return F.when(x.startswith('"') & ~x.endswith(":"), F.regexp_extract(F.to_json(F.array(safe)), r"(?s)^\[(.*)\]$", 1)).otherwise(bare(x))
 
     return F.when(F.try_parse_json(line).isNotNull(), F.array_join(F.transform(pieces, piece), ""))
