@@ -252,9 +252,9 @@ def litigation_matters(table):
 def litigation_status(table):
     """Undisclosed matters up to a cutoff by case (JN-9, LT-03, FLT-9)."""
     found = _matters(table)
-    left = litigation.undisclosed(found, F.lit("2020-06-30").cast("date")).groupBy("case").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return found.select("case").distinct().join(left, "case", "left").select("case", n.alias("undisclosed"), rules.hits_status(n).alias("status"))
+    left = F.coalesce(litigation.is_undisclosed(F.lit("2020-06-30").cast("date")), F.lit(False))
+    counted = found.groupBy("case").agg(F.count_if(left).alias("undisclosed"))
+    return counted.withColumn("status", rules.hits_status(F.col("undisclosed")))
 
 
 def streamed(sql: str):

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from proofmill.functions import dates, guards, names
 from proofmill.operators.claims import first_by
 from proofmill.operators.containment import containing
+from proofmill.sources.stored import written
 
 # Legal sites, and promoters that are searched for.
 SEBI_HOST = "sebi.gov.in"
@@ -43,7 +44,8 @@ def matters(hits: DataFrame, about: DataFrame, refs: DataFrame, key: str, hit: s
     read = hits.where(guards.on_host(F.col("url"), LEGAL_DOMAINS)).select(key, hit, "subject", "url", F.coalesce("title", F.lit("")).alias("title"), text.alias("text"))
     cores = about.select(key, "subject", _core(F.col("subject"), ascii_only).alias("core"), _core(F.col("issuer"), ascii_only).alias("issuer_core"), (F.col("ord") == 0).alias("about_issuer"))
     named = read.join(cores, [key, "subject"]).where(F.contains(_core(F.col("title"), ascii_only), "core"))
-    named = named.where(F.col("about_issuer") | F.contains(_core(F.col("text"), ascii_only), "issuer_core"))
+    # Stored, as it is read four times: long texts are normalized once.
+    named = written(named.where(F.col("about_issuer") | F.contains(_core(F.col("text"), ascii_only), "issuer_core")), "named-hits")
 
     printed = refs.where(F.trim("case_ref") != "").select(key, names.squash(F.col("case_ref")).alias("ref")).distinct()
     told = containing(named.select(hit, names.squash(F.col("text")).alias("squashed")), printed, hit, "squashed", "ref")
@@ -56,7 +58,12 @@ def matters(hits: DataFrame, about: DataFrame, refs: DataFrame, key: str, hit: s
 
 def undisclosed(found: DataFrame, cutoff: Column) -> DataFrame:
     """Matters that nothing discloses, dated up to the cutoff; without a cutoff the undated too (FLT-9)."""
-    return found.where(~F.col("disclosed") & dates.in_time(F.col("day"), cutoff))
+    return found.where(is_undisclosed(cutoff))
+
+
+def is_undisclosed(cutoff: Column) -> Column:
+    """The condition of ``undisclosed``."""
+    return ~F.col("disclosed") & dates.in_time(F.col("day"), cutoff)
 
 
 def is_order(url: Column) -> Column:
