@@ -89,22 +89,26 @@ class NegativeCache(StatefulProcessor):
         self.until = handle.getValueState("until", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows))
-        batch = batch.assign(at=_micros(batch["at"])).sort_values(["at", "event_id"])
-        until = self.until.get()[0] if self.until.exists() else None
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+        batch = batch.assign(at=_micros(batch["at"]))
+        if len(batch) > 1:
+            batch = batch.sort_values(["at", "event_id"])
+        known = self.until.get()
+        was = until = known[0] if known else None
         told = []
-        for t, held in zip(batch["at"].tolist(), batch["held"].tolist(), strict=True):
-            if held:
-                told.append("hit")
-            elif until is not None and t <= until:
+        for t in batch["at"].tolist():
+            if until is not None and t <= until:
                 told.append("missing")
             else:
                 told.append("fetch")
                 until = t + self.micros
-        if until is not None:
+        # Each call goes to the executor and back, so what hasn't changed isn't set again.
+        if until != was:
             self.until.update((until,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if was is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             self.handle.registerTimer(until // 1000 + 1)
         yield pd.DataFrame({self.key: [key[0]] * len(told), "event_id": batch["event_id"].to_numpy(), "outcome": told})
 
@@ -137,10 +141,12 @@ def limited(events: DataFrame, by: str, at: str, most: int, seconds: int, late:
 def looked_up(requests: DataFrame, held: DataFrame, key: str, at: str, seconds: int, late: str = "1 hour") -> DataFrame:
     """key, event_id, outcome of each request (STM-4): ``hit`` if ``held`` (a table: key, each once) has an answer, else
     ``fetch``, and ``missing`` for requests up to ``seconds`` after a fetch, which isn't made again so soon. State: a
-    missing key's end, forgotten when the watermark has passed it; lateness as in ``limited``."""
-    known = held.select(key, F.lit(True).alias("held"))
-    timed = requests.select(key, "event_id", F.col(at).cast("timestamp").alias("at")).join(known, key, "left")
-    return _with_state(timed.withColumn("held", F.coalesce("held", F.lit(False))), key, NegativeCache(key, seconds * 1_000_000), "outcome string", late)
+    missing key's end, forgotten when the watermark has passed it; lateness as in ``limited``, but for hits, which are never
+    dropped."""
+    timed = requests.select(key, "event_id", F.col(at).cast("timestamp").alias("at"))
+    # An answer that is held needs no state.
+    hits = timed.join(held.select(key), key, "left_semi").select(key, "event_id", F.lit("hit").alias("outcome"))
+    return _with_state(timed.join(held.select(key), key, "left_anti"), key, NegativeCache(key, seconds * 1_000_000), "outcome string", late).unionByName(hits)
 
 
 def fanned_out(stream: DataFrame, sinks: dict[str, str], key: list[str], scan: str | None = None) -> None:
