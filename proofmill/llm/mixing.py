@@ -180,11 +180,25 @@ def mix(docs: DataFrame, seed: int = 17, most: int = MOST_COPIES) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17, most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows as in ``mix``."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    numbered = _numbered(docs, own, F.col("source").cast("string").alias("source"))
+    """``docs`` with each row as often as the mix takes it; rows as in ``mix``. ``docs`` is read twice, so it should be stored.
+
+    Texts aren't stored again: what is known of a row is joined to it by 128 bits of its id, text and source. Rows that have
+    these in common are the same to the mix; its copies are dealt to them in the order of their other columns. The join is a
+    shuffle at any size, so that what it needs of disk is in proportion to the documents.
+    """
+    own = ["doc_id", "text", "source"]
+    key = [F.xxhash64(*own).alias("key1"), F.xxhash64(F.lit(1), *own).alias("key2")]
+    numbered = _numbered(docs, *key, F.col("source").cast("string").alias("source"))
     rows, _ = _copies(numbered.select("row", "u", "source", "size"), seed, most)
-    taken = rows.where("copies > 0").select("row", F.col("copies").cast("int").alias("copies")).join(numbered.select("row", "doc"), "row")
+    given = numbered.select("row", "key1", "key2").join(rows.select("row", F.col("copies").cast("int").alias("copies")), "row")
+    upto = F.sum("count").over(Window.partitionBy("key1", "key2").orderBy(F.desc("copies")))
+    given = given.groupBy("key1", "key2", "copies").count().withColumn("upto", upto).where("copies > 0")
+    given = given.groupBy("key1", "key2").agg(F.array_sort(F.collect_list(F.struct("upto", "copies"))).alias("given"))  # one for each number of copies
+    rest = F.xxhash64(*[f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    known = docs.select(*key, rest.alias("rest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    place = F.row_number().over(Window.partitionBy("key1", "key2").orderBy("rest"))
+    copies = F.get(F.filter("given", lambda g: g["upto"] >= F.col("place")), F.lit(0))["copies"].alias("copies")
+    taken = known.join(given.hint("merge"), ["key1", "key2"]).withColumn("place", place).select("doc", copies).where("copies is not null")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
 
 

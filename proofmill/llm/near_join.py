@@ -247,7 +247,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = sketches.where("n > 0").join(sets, ["n", "s1", "s2"]).select("id", "rep")
 
     own = written(sketches.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").drop("s1", "s2"), "own")
-    joined = _buckets(plain.join(own.select("id"), "id", "left_semi"), k, percent, SPARE)
+    # A shuffle at any size, so that what it needs of disk is in proportion to the texts.
+    joined = _buckets(plain.join(own.select("id").hint("merge"), "id", "left_semi"), k, percent, SPARE)
     hubs = written(joined.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "hubs")
     shared = written(joined.join(hubs, "key").select("key", "hub", "id"), "shared")
     discard(joined, hubs)
