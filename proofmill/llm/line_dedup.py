@@ -59,7 +59,8 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORD
     gone = lines.join(spread, ["h", "chars"]).where(_place() != F.col("first")).groupBy("doc_id", "txt").agg(F.collect_set("line_no").alias("gone"))
     gone = written(gone, "gone")
     discard(lines, spread)
-    both = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and xxhash64(cast(d.text as string)) = g.txt"), "left")
+    # A shuffle at any size, so that what it needs of disk is in proportion to the texts.
+    both = docs.alias("d").join(gone.alias("g").hint("merge"), F.expr("d.doc_id <=> g.doc_id and xxhash64(cast(d.text as string)) = g.txt"), "left")
     own = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"]).alias("own")
     split = both.select(own, F.col("d.text").alias("text"), F.split(F.col("d.text"), "\n").alias("split"), F.coalesce(F.col("g.gone"), F.array().cast("array<int>")).alias("out"))
     # Places that stay are found by a set and looked up one by one, so the work grows with the lines alone.

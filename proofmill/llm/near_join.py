@@ -17,13 +17,14 @@ bucket with more than CROWD that are still apart (their blocks lie in a passage
 get sketches of WIDE times as many blocks, counted among themselves, whose rare blocks lie outside the passage. Pairs
 are dropped in the join itself if sizes, or the sketches folded to COARSE bits, rule a link out. What is left must
 differ, in sketches of about two bits a shingle, in no more bits than its sizes allow, then its texts are compared
-exactly. Blocks are counted and joined in SLICES of their keys, one after another, and each table is deleted once its
-successor is stored, so that disk holds a part of the blocks at a time.
+exactly. Blocks are made in SLICES of the texts, counted and joined in SLICES of their keys, one after another, and each
+table is deleted once its successor is stored, so that disk holds a part of the texts and blocks at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, floor, log
 
 import numpy as np
@@ -42,7 +43,7 @@ BAND = 1.5
 SPARE = 1.25
 #: Still separate documents of a bucket that meet in pairs, at most; blocks of a sketch for those of a larger bucket.
 CROWD, WIDE = 64, 8.0
-#: Parts of the keys that are counted and joined one after another.
+#: Parts of the texts, and of the keys, that are dealt with one after another.
 SLICES = 4
 #: Bits of the sketches that are compared in the join of pairs, by words of 64.
 COARSE = 512
@@ -184,21 +185,23 @@ def _entries(docs: DataFrame, k: int, percent: int, wide: float) -> DataFrame:
     return docs.mapInArrow(run, _ENTRIES)
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _buckets(docs: DataFrame, k: int, percent: int, wide: float) -> DataFrame:
     """key, id: of each text's blocks those that it is joined on and that some other text has, too."""
-    entries = written(_entries(docs, k, percent, wide), "entries")
-    parts = []
+    # Texts are shuffled to leave out copies: a part of them at a time, so that disk never holds all beside the entries.
+    made = [written(_entries(docs.where(F.pmod(F.xxhash64("id"), F.lit(SLICES)) == i), k, percent, wide), "entries") for i in range(SLICES)]
+    entries, parts = union(made), []
     for i in range(SLICES):
         part = entries.where(F.pmod(F.col("key"), F.lit(SLICES)) == i)
         often = written(part.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "often")
         parts.append(written(part.join(often, "key"), "met"))
         discard(often)
-    discard(entries)
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
+    discard(*made)
     order = Window.partitionBy("id", "band").orderBy(F.desc("met"), "key")
-    joined = written(met.withColumn("place", F.row_number().over(order)).where("place > spare").select("key", "id"), "joined")
+    joined = written(union(parts).withColumn("place", F.row_number().over(order)).where("place > spare").select("key", "id"), "joined")
     discard(*parts)
     return joined
 
@@ -228,8 +231,9 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, pe
                     good.append(linked(one, shingles(b, k), percent))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_a = near.join(text("a"), "a")
-    return with_a.join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    # Shuffles at any size, as below.
+    with_a = near.join(text("a").hint("merge"), "a")
+    return with_a.join(text("b").hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
