@@ -304,13 +304,17 @@ def scrubbed_values(table):
     return lines.select("conv_id", "turn", at("$.deep.ABCDE1234F.told").alias("told"), at("$.deep.ABCDE1234F.list[1]").alias("deep"), at("$.role").alias("own"), at("$.deep.ABCDE1234F.n").cast("long").alias("n"), at("$.deep.ABCDE1234F.url").alias("url"))
 
 
+#: An event's number in letters, whatever its length: digits may be masked as those of a telephone or an identity number.
+_LETTERED = ("-0123456789", "kabcdefghij")
+
+
 def _bundles(table):
     """The events of each user as a case's bundle in the shared folder; some lines break a rule."""
     e = table("events")
     k = F.col("event_id")
     scan = _txt("s", F.col("user_id"))
     type_ = F.when(k % 13 != 0, F.col("event_type"))
-    id_ = F.concat(F.when(k % 17 == 0, F.lit("other")).otherwise(scan), F.lit("-"), F.lpad(k.cast("string"), 6, "0"))
+    id_ = F.concat(F.when(k % 17 == 0, F.lit("other")).otherwise(scan), F.lit("-"), F.translate(k.cast("string"), *_LETTERED))
     data = F.when(k % 19 == 0, F.concat(F.lit('{"note":"'), F.repeat(F.lit("long "), 1000), F.lit('"}'))).otherwise(F.col("props"))
     events = e.select(_txt("case-", F.col("user_id")).alias("case"), F.lit(1).alias("v"), id_.alias("id"), F.lit(None).cast("string").alias("parent"), scan.alias("scan"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_ns"), type_.alias("type"), data.alias("data"))
     cards = e.select("user_id").distinct().where("user_id % 5 <> 0").select(_txt("case-", F.col("user_id")).alias("case"), F.lit('{"lines":[]}').alias("card"))
@@ -326,7 +330,7 @@ _RULES = "CASE WHEN event_id % 19 = 0 THEN 'size' WHEN event_id % 13 = 0 THEN 's
 def replay_bundles(table):
     """Events of written bundles, with the rule that a line breaks (SRC-8, SNK-8)."""
     read = replay.read_bundles(*_bundles(table))
-    event = F.regexp_extract("line", r'"id":"[^"]*-(\d+)"', 1).cast("long")
+    event = F.translate(F.regexp_extract("line", r'"id":"[^"]*-([a-k]+)"', 1), *reversed(_LETTERED)).cast("long")
     return read.select("case", event.alias("event_id"), "rule", F.when(F.col("rule").isNull(), F.col("type")).alias("type"))
 
 
