@@ -57,9 +57,11 @@ def _filings(table):
     entry = F.when(F.col("o_custkey") % 2 == 0, _txt(F.col("listed"), " ........ ", F.col("first"))).otherwise(_txt(F.col("listed"), " ", F.col("first")))
     of_half = lambda half: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("i", entry.alias("e"))), lambda x: half(x["i"]))), lambda x: x["e"]), "\n")
     lists = chapters.groupBy("o_custkey", "toc").agg(of_half(lambda i: i <= 6).alias("one"), of_half(lambda i: i > 6).alias("two"))
-    head = lists.select("o_custkey", F.col("toc").alias("page"), _txt("Page ", F.col("toc"), "\nTABLE OF CONTENTS\nSECTION I - GENERAL\n", F.col("one")).alias("text"))
-    spill = lists.select("o_custkey", (F.col("toc") + 1).alias("page"), F.col("two").alias("text"))
-    covers = lists.select("o_custkey", F.explode(F.sequence(F.lit(0), F.col("toc") - 1)).alias("page"), F.lit("A cover page of 2024 names General Information").alias("text")).where("page > 0")
+    of = lambda page, text: F.struct(page.alias("page"), text.alias("text"))
+    head = of(F.col("toc"), _txt("Page ", F.col("toc"), "\nTABLE OF CONTENTS\nSECTION I - GENERAL\n", F.col("one")))
+    spill = of(F.col("toc") + 1, F.col("two"))
+    covers = F.transform(F.filter(F.sequence(F.lit(0), F.col("toc") - 1), lambda p: p > 0), lambda p: of(p, F.lit("A cover page of 2024 names General Information")))
+    front = lists.select("o_custkey", F.inline(F.concat(F.array(head, spill), covers)))
     k = F.col("o_orderkey")
     body = _txt(
         "Our Company has appointed advisers for the purposes of this chapter.\n", "1 Works ", k, " Private Limited for plant of order ", k, " ₹ ", F.format_number("o_totalprice", 2), " dated ", F.date_format("o_orderdate", "d MMMM yyyy"),
@@ -69,7 +71,7 @@ def _filings(table):
     own = chapters.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     top = F.when(F.col("j") == 0, F.concat(F.when(k % 3 == 0, _txt(F.col("first"), " | P a g e\n")).otherwise(""), F.col("headed"), F.lit("\n"))).otherwise("")
     rest = F.when(F.col("j") == 0, F.concat(top, body)).otherwise("The chapter goes on.\nIt names Risk Factors in a line of text")
-    return head.unionByName(spill).unionByName(covers).unionByName(own.select("o_custkey", (F.col("first") + F.col("j")).alias("page"), rest.alias("text")))
+    return front.unionByName(own.select("o_custkey", (F.col("first") + F.col("j")).alias("page"), rest.alias("text")))
 
 
 _CHAPTERS = """ch AS (

@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proofmill.functions.names import nfkc
+from proofmill.functions.names import nfkc, strange
 
 # Patterns of the guards, by rule.
 UNSAFE = r"\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b\[[0-?]*[ -/]*[@-~]|[\x00-\x08\x0b-\x1f\x7f-\x{9f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{200b}-\x{200d}\x{feff}]"
+# Unsafe characters of ASCII, one by one: Java looks these up in a table, ranges it tries one after another.
+UNSAFE_ASCII = "[" + "".join(rf"\x{c:02x}" for c in [*range(9), *range(11, 32), 127]) + "]"
 AADHAAR = r"(?<!\d)[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}(?!\d)"
 MASKS = {
     "pan": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
@@ -15,6 +17,8 @@ MASKS = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]{1,64}@(?:gmail|yahoo|hotmail|outlook|rediffmail|ymail|icloud|protonmail|proton)\.(?:com|in|co\.in|me)\b",
     "house no.": r"(?i)\b(?:flat|house|h\.?\s?no\.?|plot|door)(?:\s{0,3}no\.?)?\s{0,3}[:#]?\s{0,3}[\w/-]{0,20}\d[\w/-]{0,20}",
 }
+# What a text needs for a mask to match, asked for first: the patterns themselves look around at each of its places.
+NEEDED = {"aadhaar": r"[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}", "pan": r"[A-Z]{5}[0-9]{4}[A-Z]", "phone": r"[6-9]\d{4}[ -]?\d{5}", "email": "@"}
 INJECTION = {
     "ignore_previous": r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|above|earlier|your|these|those|my)\s+(?:instructions?|rules?|prompts?|messages?|guidelines?)\b",
     "role_switch": r"(?i)\byou\s+are\s+now\b|\bdeveloper\s+mode\b|\bjailbreak\b|\bact\s+as\s+(?:an?\s+)?(?:ai|assistant|chatbot|dan|evil|unrestricted|system)\b",
@@ -46,7 +50,12 @@ STOP = [
 
 def clean_text(text: Column) -> Column:
     """Struct of the text without escape codes, controls and invisible marks (then NFKC), and how many were removed."""
-    return F.struct(nfkc(F.regexp_replace(text, UNSAFE, "")).alias("text"), F.regexp_count(text, F.lit(UNSAFE)).alias("removed"))
+    return F.struct(nfkc(bare(text)).alias("text"), F.regexp_count(text, F.lit(UNSAFE)).alias("removed"))
+
+
+def bare(text: Column) -> Column:
+    """The text without escape codes, controls and invisible marks; most texts have no character that one begins with."""
+    return F.when(text.rlike(UNSAFE_ASCII) | strange(text), F.regexp_replace(text, UNSAFE, "")).otherwise(text)
 
 
 def _d(a: int, b: int) -> int:
@@ -95,14 +104,19 @@ def mask_aadhaar(text: Column) -> Column:
         return F.array_join(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
 
     # In an array, so that the text is made once for both readings of it.
-    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(AADHAAR), masked(t)).otherwise(t)), F.lit(0))
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(NEEDED["aadhaar"]) & t.rlike(AADHAAR), masked(t)).otherwise(t)), F.lit(0))
+
+
+def _masked(text: Column, rule: str, pattern: str) -> Column:
+    # In an array, so that the text is made once for the question and the mask.
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(NEEDED[rule]), F.regexp_replace(t, pattern, f"[{rule}]")).otherwise(t)), F.lit(0))
 
 
 def mask_pii(text: Column, aadhaar: bool = True) -> Column:
     """The text with personal identifiers masked, in the order of the rules."""
     out = mask_aadhaar(text) if aadhaar else text
     for rule, pattern in MASKS.items():
-        out = F.regexp_replace(out, pattern, f"[{rule}]")
+        out = _masked(out, rule, pattern) if rule in NEEDED else F.regexp_replace(out, pattern, f"[{rule}]")
     return out
 
 

@@ -37,7 +37,12 @@ def grounded(claims: DataFrame, pages: DataFrame, on: list[str], values: Column,
 
 def is_generic(name: Column, vendor: Column, roles: list[str]) -> Column:
     """A role in place of a name, or a row of an expenses table (FLT-13)."""
-    return F.coalesce(norm(name).isin(*roles), F.lit(False)) | F.coalesce(vendor.rlike(EXPENSE_ROW), F.lit(False))
+    return F.coalesce(norm(name).isin(*roles), F.lit(False)) | is_expense(vendor)
+
+
+def is_expense(vendor: Column) -> Column:
+    """A row of an expenses table."""
+    return F.coalesce(vendor.rlike(EXPENSE_ROW), F.lit(False))
 
 
 def grounded_rows(claims: DataFrame, pages: DataFrame, on: list[str], values: list[str], text: str) -> DataFrame:

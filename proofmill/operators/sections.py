@@ -46,7 +46,9 @@ def single_spaced(text: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """Lines that aren't blank, in capitals and single spaces."""
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.upper(single_spaced(x))), lambda x: x != "")
+    # All lines together: spaces first, so that no pattern reads a long run of them again from each of its places.
+    spaced = F.regexp_replace(F.regexp_replace(F.upper(text), r"[ \t\x0B\f]++", " "), r" ?[\r\n]\s*+", "\n")
+    return F.filter(F.split(F.trim(spaced), "\n"), lambda x: x != "")
 
 
 def normal(title: Column) -> Column:
